@@ -38,8 +38,8 @@ _CTE = {
     "hd": "SELECT run_id, window_start, sum(packet_count * exp(-age / 32400)) AS decayed_packets FROM hist GROUP BY ALL",
     "back": """SELECT ed.run_id, ed.window_start, count(*) AS n, count(hp.src_ip) AS r FROM ed LEFT JOIN hp
       ON ed.run_id = hp.run_id AND ed.window_start = hp.window_start AND ed.src_ip = hp.src_ip AND ed.dst_ip = hp.dst_ip GROUP BY ALL""",
-    "shr": """SELECT run_id, window_start, switch_id, sum(packet_count) / sum(sum(packet_count)) OVER (PARTITION BY run_id, window_start) AS share
-      FROM ev GROUP BY ALL""",
+    "shr": """SELECT run_id, window_start, switch_id, p / sum(p) OVER (PARTITION BY run_id, window_start) AS share
+      FROM (SELECT run_id, window_start, switch_id, sum(packet_count) AS p FROM ev GROUP BY ALL)""",
     "allf": """SELECT wf.row_id, wf.run_id, wf.window_start, sources, source_degree_mean, services, service_degree_max, ss_edges,
       edge_packets_mean, edge_packets_max, edge_weight_share_max, edge_weight_share_entropy, edge_packet_rate_mean,
       switch_nodes, source_switch_edges, switch_service_edges, switch_degree_max, path_count, arrival_gap_mean, arrival_gap_std,
