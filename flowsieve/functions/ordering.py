@@ -23,21 +23,21 @@ def _plain(order: Sequence[str | Column]) -> list[Column]:
 
 
 def sliced(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], slices: int | None = None) -> DataFrame:
-    """Rows plus ``_slice``, increasing along ``order`` inside every group of ``by``."""
+    """Rows plus ``_slice``, increasing along ``order`` inside every group of ``by``.
+
+    Group keys must not be null, so that later joins stay plain equi-joins on the
+    partitioning the rows already have.
+    """
     count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*(F.col(c) for c in by), *_plain(order)]
-    ranged = df.repartitionByRange(count, *keys).withColumn(SLICE, F.spark_partition_id())
+    named = df.withColumns({
+        c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null group key {c}")).cast(t)).otherwise(F.col(c))
+        for c, t in df.dtypes if c in by
+    }) if by else df
+    ranged = named.repartitionByRange(count, *keys).withColumn(SLICE, F.spark_partition_id())
     return written(ranged, "sliced")
 
 
-def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    renamed = right.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in right.columns])
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(renamed[f"_k_{key}"])
-    return left.join(renamed, condition, how).drop(*[f"_k_{k}" for k in keys])
-
-
 def running(
     df: DataFrame, by: Sequence[str], order: Sequence[str | Column], sums: dict[str, Column],
     *, totals: bool = False, descending: bool = False,
@@ -59,7 +59,7 @@ def running(
     )
     local = Window.partitionBy(*by, SLICE).orderBy(*_plain(order)).rowsBetween(Window.unboundedPreceding, 0)
     inside = df.withColumns({f"_run_{n}": F.sum(c).over(local) for n, c in sums.items()})
-    joined = _match(inside, carried, [*by, SLICE])
+    joined = inside.join(carried, [*by, SLICE], "left")
     return joined.withColumns(
         {n: F.col(f"_run_{n}") + F.col(f"_base_{n}") for n in sums}
     ).drop(*[f"_run_{n}" for n in sums], *[f"_base_{n}" for n in sums])
@@ -83,7 +83,7 @@ def lagged(
         "_local": F.lag(column).over(local),
     })
     fallback = F.lit(None) if default is None else default
-    joined = _match(inside, carried, [*by, SLICE])
+    joined = inside.join(carried, [*by, SLICE], "left")
     value = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_local"))
     return joined.withColumn(name, F.coalesce(value, fallback)).drop("_first", "_local", "_carry")
 

@@ -32,22 +32,31 @@ def numbered_blocks(blocks: DataFrame, by: Sequence[str], order: Sequence[str])
     return run.withColumn("block", F.col("block") - 1).withColumnRenamed("block_total", "blocks")
 
 
-def multiplicities(numbered: DataFrame, by: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """How often each block is drawn per replicate: (by, replicate, block, times)."""
-    groups = numbered.groupBy(*by).agg(F.max("blocks").alias("blocks"))
-    spread = groups.select(*by, "blocks", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    # one row per (group, replicate) is spread out before each expands to its own draws
-    spread = spread.repartition(*by, "replicate")
+def multiplicities(numbered: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """How often each block is drawn per replicate: (blocks, replicate, block, times).
+
+    Draws depend on the number of blocks only, so groups of equal size share them.
+    """
+    sizes = numbered.select("blocks").distinct()
+    spread = sizes.select("blocks", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    # one row per (size, replicate) is spread out before each expands to its own draws
+    # (an explicit number keeps adaptive coalescing from undoing that)
+    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread.repartition(tasks, "blocks", "replicate")
     drawn = spread.select(
-        *by, "replicate", "blocks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("_j"))
-    picked = drawn.select(*by, "replicate", draw(seed, F.col("replicate"), F.col("_j"), F.col("blocks")).alias("block"))
-    return picked.groupBy(*by, "replicate", "block").agg(F.count(F.lit(1)).alias("times"))
+        "replicate", "blocks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("_j"))
+    picked = drawn.select("replicate", "blocks", draw(seed, F.col("replicate"), F.col("_j"), F.col("blocks")).alias("block"))
+    return picked.groupBy("blocks", "replicate", "block").agg(F.count(F.lit(1)).alias("times"))
 
 
 def resampled(numbered: DataFrame, by: Sequence[str], values: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """Sum of ``values`` over the drawn blocks of every replicate."""
-    times = multiplicities(numbered, by, replicates, seed)
-    return numbered.drop("blocks").join(times, [*by, "block"]).groupBy(*by, "replicate").agg(
+    """Sum of ``values`` over the drawn blocks of every replicate.
+
+    With few blocks the draws are small and Spark broadcasts them; with many blocks
+    the join key has many values and shuffles evenly.
+    """
+    times = multiplicities(numbered, replicates, seed)
+    return numbered.join(times, ["blocks", "block"]).groupBy(*by, "replicate").agg(
         *[F.sum(F.col(v) * F.col("times")).alias(v) for v in values])
 
 
@@ -82,22 +91,20 @@ def cluster_intervals(
     per_cluster = df.groupBy(*by, *cluster).agg(
         *[F.count_if(case[c]).alias(c) for c in metrics.COUNTS], F.sum(gain).alias("_reward"))
     numbered = numbered_blocks(per_cluster, by, cluster)
-    times = multiplicities(numbered, by, replicates, seed)
-    sums = [*metrics.COUNTS, "_reward"]
-    merged = numbered.drop("blocks").join(times, [*by, "block"]).groupBy(*by, "replicate").agg(
-        *[F.sum(F.col(c) * F.col("times")).alias(c) for c in sums])
+    merged = resampled(numbered, by, [*metrics.COUNTS, "_reward"], replicates, seed)
+    times = multiplicities(numbered, replicates, seed)
     plain = metrics.strict_metrics(merged).withColumn("reward_mean", F.col("_reward") / F.col("n"))
     ranked = _resampled_areas(df, by, cluster, numbered, times)
     return intervals(plain.join(ranked, [*by, "replicate"]), by, CLUSTER_METRICS)
 
 
 def _resampled_areas(df: DataFrame, by: Sequence[str], cluster: Sequence[str], numbered: DataFrame, times: DataFrame) -> DataFrame:
-    histogram = curves.score_histogram(df, [*by, *cluster]).join(numbered.select(*by, *cluster, "block"), [*by, *cluster])
+    histogram = curves.score_histogram(df, [*by, *cluster]).join(numbered.select(*by, *cluster, "block", "blocks"), [*by, *cluster])
     # slices follow the score only, so they stay valid inside every replicate
     parts = sliced(histogram.drop(*cluster), by, [F.col("score").desc()])
     salted = parts.withColumn("_salt", F.pmod(F.xxhash64("score"), F.lit(SALTS)).cast("int"))
     repeated = times.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    weighted = salted.join(repeated, [*by, "block", "_salt"]).groupBy(*by, "replicate", SLICE, "score").agg(
+    weighted = salted.join(repeated, ["blocks", "block", "_salt"]).groupBy(*by, "replicate", SLICE, "score").agg(
         F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg"))
     keys = [*by, "replicate"]
     run = running(weighted, keys, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, totals=True)

@@ -246,13 +246,14 @@ def oracle(statement: str, **extra: str) -> str:
     """``statement`` preceded by every twin (and extra CTE) it refers to."""
     known = {**TWINS, **extra}
     wanted: list[str] = []
+    open_names: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"(?:FROM|JOIN|,)\s+([a-z_][a-z0-9_]*)", text):
-            if name in known and name not in wanted:
+            if name in known and name not in open_names:
+                open_names.add(name)
                 visit(known[name])
-                if name not in wanted:
-                    wanted.append(name)
+                wanted.append(name)
 
     visit(statement)
     head = ",\n".join(f"{n} AS (\n{known[n]})" for n in wanted)
