@@ -251,3 +251,13 @@ def dominant_source(observations: DataFrame) -> DataFrame:
     """Source with most packets per window; equal counts go to the smaller address."""
     best = observations.groupBy(*RUN).agg(F.max("packets").alias("packets"))
     return observations.join(best, [*RUN, "packets"]).groupBy(*RUN).agg(F.min("source_ip").alias("dominant_source"))
+
+
+def enforcement_evidence(decisions: DataFrame, records: DataFrame) -> DataFrame:
+    """Decision of a window next to the rule observed for the following one."""
+    applied = records.select(
+        "run_id", (F.col("applies_to_window") - 1).alias("window_index"),
+        F.regexp_extract("flow", r"nw_src=([0-9.]+),", 1).alias("_source"), F.regexp_extract("flow", r"hard_timeout=(\d+)", 1).try_cast("int").alias("_ttl"))
+    return decisions.join(applied, RUN, "left").select(
+        *RUN, "target_source", F.coalesce(F.col("_source") == F.col("target_source"), F.lit(False)).alias("source_matches"),
+        F.coalesce(F.col("_ttl") == F.col("rule_ttl_seconds"), F.lit(False)).alias("lifetime_matches"))
