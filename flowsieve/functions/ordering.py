@@ -8,7 +8,7 @@ then only needs one carried value per group from the slices before it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,11 +22,15 @@ def _plain(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def sliced(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], slices: int | None = None) -> DataFrame:
+def sliced(
+    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], slices: int | None = None,
+    then: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Rows plus ``_slice``, increasing along ``order`` inside every group of ``by``.
 
     Group keys must not be null, so that later joins stay plain equi-joins on the
-    partitioning the rows already have.
+    partitioning the rows already have. ``then`` runs after the range shuffle, so costly
+    columns are computed once and not again by the pass that samples the ranges.
     """
     count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*(F.col(c) for c in by), *_plain(order)]
@@ -35,7 +39,7 @@ def sliced(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], slic
         for c, t in df.dtypes if c in by
     }) if by else df
     ranged = named.repartitionByRange(count, *keys).withColumn(SLICE, F.spark_partition_id())
-    return written(ranged, "sliced")
+    return written(then(ranged) if then else ranged, "sliced")
 
 
 def running(

@@ -11,7 +11,7 @@ from flowsieve.plans.metric_queries import COUNTS_SQL, RATIO_SQL
 from flowsieve.plans.registry import Registry
 from flowsieve.plans.tables import WINDOW, oracle, rounded, sql_round
 from flowsieve.schemas import FEATURES
-from flowsieve.session import scratch_path
+from flowsieve.session import scratch_path, written
 from flowsieve.sources import records
 
 R = Registry()
@@ -44,7 +44,7 @@ def chain_build(spark, folder):
 
 def _tampered(spark, folder):
     """Every 97th record altered, every 101st unlinked, one chain cut short by a broken line, one with unhashed lines."""
-    c, s = _chains(spark, folder), F.col("seq")
+    c, s = written(_chains(spark, folder), "audit"), F.col("seq")
     raw = (F.when(F.col("chain_id").endswith("-05") & (s % 50 == 0), F.lit('{"idx":'))
            .when(F.col("chain_id").endswith("-06") & (s % 60 == 0), F.lit('{"idx":0}'))
            .when(s % 97 == 0, F.regexp_replace("raw", '"switch":"sw', '"switch":"xx'))
@@ -73,7 +73,7 @@ def chain_verification(spark, folder):
 
 @R.add("d7_previous_hash", _recursive(oracle("SELECT chain_id, seq, prev AS expected_prev FROM ln", **_CHAIN)))
 def previous_hash(spark, folder):
-    return integrity.chain_checks(_chains(spark, folder)).select("chain_id", "seq", "expected_prev")
+    return integrity.chain_checks(written(_chains(spark, folder), "audit")).select("chain_id", "seq", "expected_prev")
 
 
 @R.add("l3_recovery", _recursive(oracle("SELECT chain_id, count(*) FILTER (NOT mal) AS recovered_records, count(*) FILTER (mal) AS dropped_records FROM tm GROUP BY chain_id", **_VERIFY)))

@@ -76,7 +76,7 @@ def _stamped(df, index="window_index", step=WINDOW):
 
 
 @R.add("k5_streaming_gate", oracle("""SELECT *, 15 AS rule_ttl_seconds FROM sel WHERE epoch(CAST(run_id AS TIMESTAMP)) + (window_index + 1) * 10800
-      <= (SELECT max(epoch(CAST(run_id AS TIMESTAMP)) + window_index * 10800) + 10800 * (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM lastx) - 600 FROM gw)""", **_GATE,
+      <= (SELECT max(epoch(CAST(run_id AS TIMESTAMP)) + window_index * 10800) + 10800 * (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM lastx) - 11400 FROM gw)""", **_GATE,
       lastx="""SELECT 1 FROM ex WHERE run_id || '/' || window_index = (SELECT max(run_id || '/' || window_index) FROM gw)"""))
 def streaming_gate(spark, folder):
     observed = tables.observations(spark, folder)
@@ -87,7 +87,7 @@ def streaming_gate(spark, folder):
 
 
 @R.add("k6_streaming_counter_deltas", oracle("""SELECT * FROM dl WHERE epoch(CAST(run_id AS TIMESTAMP)) + window_index * 10800 + (poll_index + 1) * 1800
-      <= (SELECT max(epoch(CAST(run_id AS TIMESTAMP)) + window_index * 10800 + (poll_index + 1) * 1800) - 600 FROM pl)""", pl=_POLLS, dl=_DELTA))
+      <= (SELECT max(epoch(CAST(run_id AS TIMESTAMP)) + window_index * 10800 + (poll_index + 1) * 1800) - 2400 FROM pl)""", pl=_POLLS, dl=_DELTA))
 def streaming_counter_deltas(spark, folder):
     start = F.to_timestamp("run_id", "yyyy-MM-dd")
     second = (F.col("window_index") * WINDOW + F.col("poll_index") * 1800).cast("decimal(18,6)")

@@ -61,7 +61,9 @@ def gate_decisions(observations: DataFrame, predictions: DataFrame, policy: Gate
         F.lit(None).cast("int").alias("prediction"))
     marks = predictions.select("run_id", "window_index", F.lit(None).cast("string").alias("source_ip"), "window_ts", "prediction")
     keys = ["run_id", "window_index", F.window("window_ts", _seconds(seconds)).alias("window")]
-    per_source = hits.unionByName(marks).withWatermark("window_ts", _seconds(delay)).groupBy(*keys, "source_ip").agg(
+    # repeats lie ahead of their row; the watermark must not run ahead with them
+    slack = delay + (need - 1) * seconds
+    per_source = hits.unionByName(marks).withWatermark("window_ts", _seconds(slack)).groupBy(*keys, "source_ip").agg(
         F.count(F.lit(1)).alias("_hits"), F.max("prediction").alias("prediction"))
     standing = per_source.filter(F.col("source_ip").isNull() | (F.col("_hits") == need))
     merged = standing.groupBy("run_id", "window_index", "window").agg(
@@ -81,7 +83,7 @@ def counter_deltas(polls: DataFrame, poll_seconds: int, delay: int) -> DataFrame
         "run_id", "window_index", "source_ip", (F.col("poll_index") + F.col("_shift")).cast("int").alias("poll_index"), (F.col("poll_ts") + step).alias("poll_ts"),
         *[F.when(F.col("_shift") == s, F.col(c)).alias(f"_{c}{s}") for c in ("packets", "bytes") for s in (0, 1)])
     keys = ["run_id", "window_index", "source_ip", "poll_index"]
-    merged = both.withWatermark("poll_ts", _seconds(delay)).groupBy(*keys, F.window("poll_ts", _seconds(poll_seconds))).agg(
+    merged = both.withWatermark("poll_ts", _seconds(delay + poll_seconds)).groupBy(*keys, F.window("poll_ts", _seconds(poll_seconds))).agg(
         *[F.max(f"_{c}{s}").alias(f"_{c}{s}") for c in ("packets", "bytes") for s in (0, 1)])
     zero = F.lit(0).cast("bigint")
     return merged.filter(F.col("_packets0").isNotNull() & (F.col("poll_index") > 0)).select(
