@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsieve.functions import cleaning
+from flowsieve.functions.ordering import running, sliced
 from flowsieve.schemas import FEATURES, OBSERVATION, RECEIVER_REPORT
 
 # fixed values: accepted names per field, in order of preference, and defaults for absent dimensions
@@ -147,7 +148,7 @@ def read_trial_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
         windows = windows.withColumn("scheduled_attackers", F.col("scheduled_attackers").cast("int"))
     else:
         windows = windows.withColumn("scheduled_attackers", (F.col("label") != 0).cast("int"))
-    texts = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "iperf_*.json").option("wholetext", True).text(root))
+    texts = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "iperf_*.json").text(root, wholetext=True))
     path = F.col("_metadata.file_path")
     reports = texts.select(
         cleaning.ancestor(path, 2).alias("trial"),
@@ -205,11 +206,17 @@ def audit_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """(chain_id, seq, raw): one chain per file, numbered by line. Files are the unit of parallelism."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(
-        cleaning.file_stem(F.col("_metadata.file_path")).alias("chain_id"),
-        F.posexplode(F.split("value", "\r?\n")).alias("seq", "raw")).withColumn("seq", F.col("seq").cast("bigint"))
+    """(chain_id, seq, raw): one chain per file, numbered by line.
+
+    Files may be split: a line's place is its split's offset and its order inside the
+    split, and line numbers are running counts over that order.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("chain_id"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw"))
+    place = ["_block", "_at"]
+    counted = running(sliced(lines, ["chain_id"], place), ["chain_id"], place, {"seq": F.lit(1).cast("bigint")})
+    return counted.select("chain_id", (F.col("seq") - 1).alias("seq"), "raw")
 
 
 def flow_counters(lines: DataFrame, keys: Sequence[str], server: str = SERVER) -> DataFrame:
