@@ -86,14 +86,10 @@ def cluster_intervals(
     df: DataFrame, by: Sequence[str], cluster: Sequence[str], replicates: int = 2000, seed: int = 9127,
 ) -> DataFrame:
     """Strict metrics, both areas and the mean utility of resampled clusters."""
-    gain = metrics.utility(F.col("label"), F.col("prediction"))
-    case = metrics.outcome(F.col("label"), F.col("prediction"))
-    per_cluster = df.groupBy(*by, *cluster).agg(
-        *[F.count_if(case[c]).alias(c) for c in metrics.COUNTS], F.sum(gain).alias("_reward"))
-    numbered = numbered_blocks(per_cluster, by, cluster)
-    merged = resampled(numbered, by, [*metrics.COUNTS, "_reward"], replicates, seed)
+    numbered = numbered_blocks(metrics.confusion(df, [*by, *cluster]), by, cluster)
+    merged = resampled(numbered, by, metrics.COUNTS, replicates, seed)
     times = multiplicities(numbered, replicates, seed)
-    plain = metrics.strict_metrics(merged).withColumn("reward_mean", F.col("_reward") / F.col("n"))
+    plain = metrics.strict_metrics(merged).withColumn("reward_mean", F.try_divide(metrics.utility_from_counts(), F.col("n")))
     ranked = _resampled_areas(df, by, cluster, numbered, times)
     return intervals(plain.join(ranked, [*by, "replicate"]), by, CLUSTER_METRICS)
 

@@ -89,12 +89,17 @@ def zero_metrics(counts: DataFrame) -> DataFrame:
     return plain.withColumn("f1", F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)))
 
 
+def utility_from_counts() -> Column:
+    """Total utility of the four counts; exact whatever the row order."""
+    return sum((F.col(c) * F.lit(gain) for c, gain in UTILITY.items()), F.lit(0.0))
+
+
 def utility_totals(df: DataFrame, by: Sequence[str], label: str = "label", action: str = "prediction") -> DataFrame:
-    gain = utility(F.col(label), F.col(action))
-    return df.groupBy(*by).agg(
-        F.sum(gain).alias("reward"), F.avg(gain).alias("reward_mean"),
-        F.count_if(F.col(action) == 1).alias("mitigation_count"), F.count_if(F.col(action) == 0).alias("no_action_count"),
-    )
+    counts = confusion(df, by, label, action).withColumn("reward", utility_from_counts())
+    tn, fp, fn, tp = (F.col(c) for c in COUNTS)
+    return counts.select(
+        *by, "reward", F.try_divide(F.col("reward"), tn + fp + fn + tp).alias("reward_mean"),
+        (tp + fp).alias("mitigation_count"), (tn + fn).alias("no_action_count"))
 
 
 def brier(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "probability") -> DataFrame:

@@ -30,6 +30,10 @@ RATIO_SQL = {
 _DEN = {"precision": "tp + fp", "recall": "tp + fn", "f1": "2 * tp + fp + fn", "fpr": "fp + tn", "fnr": "fn + tp", "benign_damage": "fp + tn"}
 REASONS_SQL = "concat_ws('; ', " + ", ".join(f"CASE WHEN {d} = 0 THEN '{m}: zero denominator' END" for m, d in _DEN.items()) + ") AS undefined_metrics"
 ZERO_SQL = {m: f"coalesce({e}, 0)" for m, e in RATIO_SQL.items()}
+# utility of the four counts, summed exactly
+UTILITY_SQL = "(2.0::DOUBLE * {tp} - 2.0::DOUBLE * {fn} - 1.25::DOUBLE * {fp} + 0.2::DOUBLE * {tn})".format(
+    tn="count(*) FILTER (label = 0 AND prediction = 0)", fp="count(*) FILTER (label = 0 AND prediction = 1)",
+    fn="count(*) FILTER (label = 1 AND prediction = 0)", tp="count(*) FILTER (label = 1 AND prediction = 1)")
 GAIN = ("CASE WHEN label = 1 AND {a} = 1 THEN 2.0::DOUBLE WHEN label = 1 THEN -2.0::DOUBLE "
         "WHEN {a} = 1 THEN -1.25::DOUBLE ELSE 0.2::DOUBLE END")
 DRAW = "CAST(concat('0x', substr(md5(concat_ws('|', '{seed}', r, j)), 1, 8)) AS BIGINT) % b"
@@ -84,10 +88,11 @@ def single_class_areas(spark, folder):
     return rounded(curves.ranking(tables.scores(spark, folder), ["dataset"]))
 
 
-@R.add("h7_utility", oracle(f"""SELECT policy, {sql_round({'reward': f"sum({GAIN.format(a='prediction')})", 'reward_mean': f"avg({GAIN.format(a='prediction')})"})},
+# utilities have two decimals, so their means are compared at more places than they can tie at
+@R.add("h7_utility", oracle(f"""SELECT policy, {sql_round({'reward': UTILITY_SQL, 'reward_mean': f"{UTILITY_SQL} / count(*)"}, 9)},
       count(*) FILTER (prediction = 1) AS mitigation_count, count(*) FILTER (prediction = 0) AS no_action_count FROM po GROUP BY policy"""))
 def utility(spark, folder):
-    return rounded(metrics.utility_totals(tables.policies(spark, folder), ["policy"]))
+    return rounded(metrics.utility_totals(tables.policies(spark, folder), ["policy"]), 9)
 
 
 @R.add("d11_cumulative_confusion", oracle("""SELECT policy, s AS score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fpt - fp AS BIGINT) AS tn,
@@ -224,10 +229,10 @@ _PAIR = {
 @R.add("h13_paired_policies", oracle(f"""SELECT policy, 'ml_window_baseline' AS baseline, n, dis AS disagreement_count, dis = 0 AS identical_predictions,
       far = 0 AS identical_probabilities, {sql_round({
           'max_probability_difference': 'far', 'f1_difference': '2.0 * tpa / nullif(dna, 0)::DOUBLE - 2.0 * tpb / nullif(dnb, 0)::DOUBLE',
-          'reward_mean_difference': 'gain / n', 'f1_diff_ci_lower': 'fl', 'f1_diff_ci_upper': 'fu', 'reward_diff_ci_lower': 'gl', 'reward_diff_ci_upper': 'gu'})},
+          'reward_mean_difference': 'gain / n', 'f1_diff_ci_lower': 'fl', 'f1_diff_ci_upper': 'fu', 'reward_diff_ci_lower': 'gl', 'reward_diff_ci_upper': 'gu'}, 9)},
       ba_only AS baseline_only_correct, po_only AS policy_only_correct, nf AS f1_valid_replicates FROM pt JOIN bd USING (policy)""", **_PAIR))
 def paired_policies(spark, folder):
-    return rounded(bootstrap.paired_differences(tables.policies(spark, folder), BASELINE_POLICY, ["fold", "run_id"], 500))
+    return rounded(bootstrap.paired_differences(tables.policies(spark, folder), BASELINE_POLICY, ["fold", "run_id"], 500), 9)
 
 
 @R.add("h14_mcnemar", oracle("""SELECT run_id, a AS policy_only_correct, b AS baseline_only_correct, round(CASE WHEN a = b THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE,
@@ -242,15 +247,15 @@ def mcnemar(spark, folder):
 
 
 @R.add("h21_policy_summary", oracle(f"""SELECT policy, tn, fp, fn, tp, tn + fp + fn + tp AS n, {sql_round({**RATIO_SQL, 'roc_auc': 'roc_auc', 'pr_auc': 'pr_auc',
-      'reward': 'rw', 'reward_mean': 'rm', 'policy_agreement_with_baseline': 'ag', 'agreement_final_fold': 'al'})}, {REASONS_SQL}, mc AS mitigation_count, nc AS no_action_count,
+      'reward': 'rw', 'reward_mean': 'rm', 'policy_agreement_with_baseline': 'ag', 'agreement_final_fold': 'al'}, 9)}, {REASONS_SQL}, mc AS mitigation_count, nc AS no_action_count,
       dis AS disagreement_count, ab AS abstention_count FROM c JOIN ar USING (policy) JOIN g USING (policy)""",
       **_hist("policy", "po"), c=f"SELECT policy, {COUNTS_SQL} FROM po GROUP BY policy", bl=_PAIR["bl"],
-      g=f"""SELECT policy, sum({GAIN.format(a='prediction')}) AS rw, avg({GAIN.format(a='prediction')}) AS rm, count(*) FILTER (prediction = 1) AS mc,
+      g=f"""SELECT policy, {UTILITY_SQL} AS rw, {UTILITY_SQL} / count(*) AS rm, count(*) FILTER (prediction = 1) AS mc,
         count(*) FILTER (prediction = 0) AS nc, avg(CASE WHEN prediction = bp THEN 1.0 ELSE 0.0 END) AS ag, count(*) FILTER (prediction <> bp) AS dis,
         avg(CASE WHEN fold = 3 THEN CASE WHEN prediction = bp THEN 1.0 ELSE 0.0 END END) AS al, CAST(sum(abstained) AS BIGINT) AS ab
         FROM po JOIN bl USING (fold, row_id) GROUP BY policy"""))
 def policy_summary(spark, folder):
-    return rounded(summaries.policy_summary(tables.policies(spark, folder), BASELINE_POLICY))
+    return rounded(summaries.policy_summary(tables.policies(spark, folder), BASELINE_POLICY), 9)
 
 
 @R.add("c14_action_distribution", oracle("""SELECT policy, count(*) FILTER (action = 'NONE') AS action_none, count(*) FILTER (action = 'RATE_LIMIT') AS action_rate_limit,

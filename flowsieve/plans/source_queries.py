@@ -197,7 +197,7 @@ def source_observations(spark, folder):
 
 @R.add("a9_window_contract", oracle("""SELECT count(*) + (SELECT count(*) FROM wf WHERE events % 9 = 0) AS rows, count(*) FILTER (events % 9 = 0) AS duplicate_row_ids,
       CAST(sum(CASE WHEN events % 4 = 0 THEN CASE WHEN events % 9 = 0 THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS bad_features,
-      CAST(sum(CASE WHEN unique_src = 3 THEN CASE WHEN events % 9 = 0 THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS bad_bounds, true AS both_classes, count(DISTINCT run_id) AS runs FROM wf"""))
+      CAST(sum(CASE WHEN unique_src = 3 THEN CASE WHEN events % 9 = 0 THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS bad_bounds, count(*) FILTER (label = 0) > 0 AND count(*) FILTER (label = 1) > 0 AS both_classes, count(DISTINCT run_id) AS runs FROM wf"""))
 def window_contract(spark, folder):
     w = windows.switch_windows(tables.events(spark, folder), WINDOW)
     n = F.col("events")
