@@ -79,7 +79,7 @@ def block_intervals(
     total = metrics.zero_metrics(resampled(numbered, by, metrics.COUNTS, replicates, seed))
     found = intervals(total, by, metrics.RATIO_METRICS).drop("valid_replicates", "undefined_replicates")
     sizes = numbered.groupBy(*by).agg(F.max("blocks").alias("blocks"))
-    return found.join(sizes, list(by)) if by else found.join(F.broadcast(sizes))
+    return found.join(sizes, list(by)) if by else found.withColumn("blocks", F.lit(sizes.first()["blocks"]))
 
 
 def cluster_intervals(

@@ -96,7 +96,10 @@ def select_threshold(curve: DataFrame, by: Sequence[str], max_fpr: float) -> Dat
 def with_selected(curve: DataFrame, by: Sequence[str], max_fpr: float) -> DataFrame:
     """The whole curve with the chosen threshold flagged."""
     chosen = select_threshold(curve, by, max_fpr).select(*by, F.col("threshold").alias("_chosen"))
-    joined = curve.join(chosen, list(by), "left") if by else curve.join(F.broadcast(chosen))
+    if not by:
+        row = chosen.first()
+        return curve.withColumn("selected", F.col("threshold") == row["_chosen"] if row else F.lit(False))
+    joined = curve.join(chosen, list(by), "left")
     return joined.withColumn("selected", F.coalesce(F.col("threshold") == F.col("_chosen"), F.lit(False))).drop("_chosen")
 
 

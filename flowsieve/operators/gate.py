@@ -201,10 +201,10 @@ def choose_policy(table: DataFrame, max_benign_rate: float) -> DataFrame:
     """Flag the feasible entry with most attack targets, fewest benign, highest threshold, longest persistence."""
     feasible = table.filter((F.col("benign_target_rate") <= max_benign_rate) & (F.col("attack_targets") > 0))
     order = F.struct(F.col("attack_targets"), -F.col("benign_targets"), F.col("threshold"), F.col("persistence"))
-    best = feasible.agg(F.max_by(F.struct("threshold", "persistence"), order).alias("_best"))
-    return table.join(F.broadcast(best)).withColumn(
-        "selected", F.coalesce((F.col("threshold") == F.col("_best.threshold")) & (F.col("persistence") == F.col("_best.persistence")), F.lit(False))
-    ).drop("_best")
+    best = feasible.agg(F.max_by(F.struct("threshold", "persistence"), order).alias("best")).first()["best"]
+    if best is None:
+        return table.withColumn("selected", F.lit(False))
+    return table.withColumn("selected", (F.col("threshold") == best["threshold"]) & (F.col("persistence") == best["persistence"]))
 
 
 def fit_policy(

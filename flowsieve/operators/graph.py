@@ -8,6 +8,7 @@ reduced edge for the few windows it stays visible in, which makes it an equi-joi
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,27 +167,35 @@ def switch_shares(paths: DataFrame) -> DataFrame:
         *RW, "switch_id", F.try_divide(F.col("_p").cast("double"), F.col("_t")).alias("local_switch_packet_share"))
 
 
-def run_window_features(observations: DataFrame, seconds: int, history: int, decay: float, paths: DataFrame | None = None) -> DataFrame:
-    """All graph features shared by the rows of a run window."""
+def run_window_features(
+    observations: DataFrame, seconds: int, history: int, decay: float, paths: DataFrame | None = None, wanted: Sequence[str] = GRAPH_FEATURES,
+) -> DataFrame:
+    """Graph features shared by the rows of a run window; only the families of ``wanted`` are computed."""
     paths = path_table(observations, seconds, decay) if paths is None else paths
     edges = edges_of(paths)
-    return (
-        bipartite(edges).join(switch_graph(paths), RW).join(arrival_context(observations, seconds), RW)
-        .join(temporal(observations, paths, edges, seconds, history, decay), RW)
-        .join(normalized_weights(edges, seconds), RW)
-        .withColumn("active_switches", F.col("switch_nodes"))
-    )
-
-
-def graph_features(observations: DataFrame, windows: DataFrame, seconds: int = 5, history: int = 30, decay: float = 15.0) -> DataFrame:
-    """One row of graph features per queried window row."""
+    need = lambda *names: any(n in wanted for n in names)
+    joined = bipartite(edges)
+    if need("switch_nodes", "source_switch_edges", "switch_service_edges", "switch_degree_max", "path_count", "active_switches"):
+        joined = joined.join(switch_graph(paths), RW).withColumn("active_switches", F.col("switch_nodes"))
+    if need("arrival_gap_mean", "arrival_gap_std", "event_flow_std"):
+        joined = joined.join(arrival_context(observations, seconds), RW)
+    if need("historical_edges", "new_edge_fraction", "decayed_packets", "returning_edge_fraction"):
+        joined = joined.join(temporal(observations, paths, edges, seconds, history, decay), RW)
+    if need("edge_weight_share_max", "edge_weight_share_entropy", "edge_packet_rate_mean"):
+        joined = joined.join(normalized_weights(edges, seconds), RW)
+    return joined
+
+
+def graph_features(
+    observations: DataFrame, windows: DataFrame, seconds: int = 5, history: int = 30, decay: float = 15.0, wanted: Sequence[str] = GRAPH_FEATURES,
+) -> DataFrame:
+    """One row of the wanted graph features per queried window row."""
     if windows.columns != ["row_id", "run_id", "window_start", "switch_id", "dst_ip"]:
         raise ValueError("window queries must not carry labels or outcomes")
     if seconds <= 0 or history < 0 or not math.isfinite(decay) or decay <= 0:
         raise ValueError("window, history and decay must be positive")
     paths = path_table(observations, seconds, decay)
-    common = run_window_features(observations, seconds, history, decay, paths)
-    return (
-        windows.join(common, RW).join(switch_shares(paths), [*RW, "switch_id"], "left")
-        .select("row_id", *GRAPH_FEATURES)
-    )
+    rows = windows.join(run_window_features(observations, seconds, history, decay, paths, wanted), RW)
+    if "local_switch_packet_share" in wanted:
+        rows = rows.join(switch_shares(paths), [*RW, "switch_id"], "left")
+    return rows.select("row_id", *wanted)

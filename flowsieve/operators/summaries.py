@@ -51,12 +51,12 @@ def policy_summary(predictions: DataFrame, baseline: str) -> DataFrame:
     ranked = curves.ranking(predictions, ["policy"]).select("policy", "roc_auc", "pr_auc")
     gains = metrics.utility_totals(predictions, ["policy"])
     base = predictions.filter(F.col("policy") == baseline).select("fold", "row_id", F.col("prediction").alias("_b"))
-    last = predictions.agg(F.max("fold").alias("_last"))
+    last = predictions.agg(F.max("fold")).first()[0]
     same = (F.col("prediction") == F.col("_b"))
-    agree = predictions.join(base, ["fold", "row_id"]).join(F.broadcast(last)).groupBy("policy").agg(
+    agree = predictions.join(base, ["fold", "row_id"]).groupBy("policy").agg(
         F.avg(same.cast("double")).alias("policy_agreement_with_baseline"),
         F.count_if(~same).alias("disagreement_count"),
-        F.avg(F.when(F.col("fold") == F.col("_last"), same.cast("double"))).alias("agreement_final_fold"),
+        F.avg(F.when(F.col("fold") == last, same.cast("double"))).alias("agreement_final_fold"),
         F.sum("abstained").alias("abstention_count"))
     return counted.join(ranked, "policy").join(gains, "policy").join(agree, "policy")
 
@@ -168,14 +168,18 @@ def latency_percentiles_approx(df: DataFrame, by: Sequence[str], column: str, ac
 
 
 def block_map(df: DataFrame, by: Sequence[str], block: str, label: str, source: str) -> DataFrame:
-    """Rows, positives, negatives and member sources per block."""
+    """Rows, positives, negatives and number of member sources per block; ``block_sources`` lists them."""
     per_source = df.groupBy(*by, block, source).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
     return per_source.groupBy(*by, block).agg(
-        F.array_join(F.array_sort(F.collect_set(source)), ";").alias("sources"), F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("sources"), F.sum("n").alias("n"),
         F.sum("p").alias("positive_windows"), F.sum("q").alias("negative_windows"))
 
 
+def block_sources(df: DataFrame, by: Sequence[str], block: str, source: str) -> DataFrame:
+    return df.select(*by, block, source).distinct()
+
+
 def block_support(blocks: DataFrame, by: Sequence[str]) -> DataFrame:
     return blocks.groupBy(*by).agg(
         F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("positive_windows") > 0).alias("positive_blocks"), F.sum("n").alias("n"))

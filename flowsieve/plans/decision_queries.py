@@ -276,7 +276,7 @@ _FOLD = {
     "fa": """SELECT CAST(f AS INTEGER) AS fold, run_id, CASE WHEN k < 10 + f * 4 THEN 'train' WHEN k < 13 + f * 4 THEN 'validation' ELSE 'test' END AS role
       FROM rk, range(0, 100) t(f) WHERE f < (n - 13) // 4 AND k < 17 + f * 4""",
     "fd": """SELECT fold, role, count(*) AS n, count(*) FILTER (label = 0) AS benign, count(*) FILTER (label = 1) AS attack, min(window_start) AS s, max(window_end) AS e,
-      count(DISTINCT run_id) AS runs, string_agg(DISTINCT run_id, ';' ORDER BY run_id) AS run_ids FROM fa JOIN wf USING (run_id) GROUP BY fold, role""",
+      count(DISTINCT run_id) AS runs FROM fa JOIN wf USING (run_id) GROUP BY fold, role""",
 }
 
 
@@ -311,7 +311,7 @@ def run_overlaps(spark, folder):
     return folds.run_overlaps(folds.ranked_runs(late))
 
 
-@R.add("c12_fold_definitions", oracle('SELECT fold, role, n, benign, attack, s AS "start", e AS "end", runs, run_ids FROM fd', **_FOLD))
+@R.add("c12_fold_definitions", oracle('SELECT fold, role, n, benign, attack, s AS "start", e AS "end", runs FROM fd', **_FOLD))
 def fold_definitions(spark, folder):
     return folds.fold_definitions(_switch(spark, folder), _assigned(spark, folder))
 

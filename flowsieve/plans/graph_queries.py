@@ -8,7 +8,7 @@ from flowsieve.operators import graph, windows
 from flowsieve.plans import tables
 from flowsieve.plans.registry import Registry
 from flowsieve.plans.tables import DECAY, HISTORY, WINDOW, oracle, rounded, sql_round
-from flowsieve.schemas import BIPARTITE, CONTEXT, GRAPH_POLICIES, NORMALIZED, OBSERVABLE, SWITCH, TEMPORAL
+from flowsieve.schemas import BIPARTITE, CONTEXT, GRAPH_FEATURES, GRAPH_POLICIES, NORMALIZED, OBSERVABLE, SWITCH, TEMPORAL
 
 R = Registry()
 RW = graph.RW
@@ -68,13 +68,6 @@ def _paths(spark, folder):
     return graph.path_table(_observed(spark, folder), WINDOW, DECAY)
 
 
-def _common(names):
-    def run(spark, folder):
-        f = graph.run_window_features(_observed(spark, folder), WINDOW, HISTORY, DECAY)
-        return rounded(f.select(*RW, *names))
-    return run
-
-
 @R.add("e1_bipartite", _pick(BIPARTITE, "allf", "run_id, window_start"))
 def bipartite(spark, folder):
     return rounded(graph.bipartite(graph.edges_of(_paths(spark, folder))).select(*RW, *BIPARTITE))
@@ -119,10 +112,10 @@ def switch_share(spark, folder):
     return rounded(graph.switch_shares(_paths(spark, folder)))
 
 
-def _full(spark, folder):
+def _full(spark, folder, wanted=GRAPH_FEATURES):
     e = tables.events(spark, folder)
     query = windows.switch_windows(e, WINDOW).select("row_id", "run_id", "window_start", "switch_id", "dst_ip")
-    return graph.graph_features(e.select(*OBSERVABLE), query, WINDOW, HISTORY, DECAY)
+    return graph.graph_features(e.select(*OBSERVABLE), query, WINDOW, HISTORY, DECAY, wanted)
 
 
 @R.add("e7_graph_features", _pick(list(dict.fromkeys(CONTEXT + TEMPORAL + NORMALIZED)), "allf", "row_id"))
@@ -135,7 +128,7 @@ for _name, _columns in GRAPH_POLICIES.items():
         continue  # same columns as the temporal policy
 
     def _policy(spark, folder, columns=_columns):
-        return rounded(_full(spark, folder).select("row_id", *columns))
+        return rounded(_full(spark, folder, columns))
 
     R.add(f"e8_{_name}", _pick(_columns, "allf", "row_id"))(_policy)
 

@@ -486,7 +486,7 @@ def latency_percentiles_by_source(spark, folder):
     return rounded(summaries.latency_percentiles(tables.events(spark, folder), ["src_ip"], "byte_count"))
 
 
-_BLOCKS = """SELECT dataset, fold, string_agg(DISTINCT run_id, ';' ORDER BY run_id) AS sources, count(*) AS n, count(*) FILTER (label = 1) AS positive_windows,
+_BLOCKS = """SELECT dataset, fold, count(DISTINCT run_id) AS sources, count(*) AS n, count(*) FILTER (label = 1) AS positive_windows,
       count(*) FILTER (label = 0) AS negative_windows FROM sc GROUP BY dataset, fold"""
 
 
@@ -495,6 +495,11 @@ def block_map(spark, folder):
     return summaries.block_map(tables.scores(spark, folder), ["dataset"], "fold", "label", "run_id")
 
 
+@R.add("c13_block_sources", oracle("SELECT DISTINCT dataset, fold, run_id FROM sc"))
+def block_sources(spark, folder):
+    return summaries.block_sources(tables.scores(spark, folder), ["dataset"], "fold", "run_id")
+
+
 @R.add("c13_block_support", oracle("SELECT dataset, count(*) AS blocks, count(*) FILTER (positive_windows > 0) AS positive_blocks, CAST(sum(n) AS BIGINT) AS n FROM bm GROUP BY dataset", bm=_BLOCKS))
 def block_support(spark, folder):
     return summaries.block_support(summaries.block_map(tables.scores(spark, folder), ["dataset"], "fold", "label", "run_id"), ["dataset"])

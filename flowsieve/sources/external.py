@@ -7,10 +7,11 @@ Every reader returns all rows: ``ts_epoch`` is null where the timestamp is unusa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions import cleaning
+from flowsieve.functions.ordering import SLICE, running, sliced
 from flowsieve.schemas import FLOW
 
 # fixed values: columns used from each layout
@@ -137,6 +138,6 @@ def usable(normalized: DataFrame) -> DataFrame:
 
 
 def first_rows(df: DataFrame, source: str, order: str, n: int) -> DataFrame:
-    """The first n rows of every source; each task keeps n per source before the shuffle."""
-    at = F.row_number().over(Window.partitionBy(source).orderBy(order))
-    return df.withColumn("_at", at).filter(F.col("_at") <= n).drop("_at")
+    """The first n rows of every source, by running counts, so a large source is not one task."""
+    counted = running(sliced(df, [source], [order]), [source], [order], {"_at": F.lit(1).cast("bigint")})
+    return counted.filter(F.col("_at") <= n).drop("_at", SLICE)

@@ -192,11 +192,11 @@ def window_contract(windows: DataFrame, features: Sequence[str] = FEATURES) -> D
     per_row = windows.withColumn("_bad", bad).groupBy("row_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_bad").alias("_bad"), F.count_if(F.col("window_start") >= F.col("window_end")).alias("_order"),
         F.count_if(F.col("label") == 0).alias("_zero"), F.count_if(F.col("label") == 1).alias("_one"), F.count_if(~F.col("label").isin(0, 1)).alias("_else"))
-    runs = windows.select("run_id").distinct().agg(F.count(F.lit(1)).alias("runs"))
+    runs = windows.select("run_id").distinct().count()
     rows = per_row.agg(
         F.sum("_n").alias("rows"), F.count_if(F.col("_n") > 1).alias("duplicate_row_ids"), F.sum("_bad").alias("bad_features"),
         F.sum("_order").alias("bad_bounds"), ((F.sum("_zero") > 0) & (F.sum("_one") > 0) & (F.sum("_else") == 0)).alias("both_classes"))
-    return rows.join(F.broadcast(runs))
+    return rows.withColumn("runs", F.lit(runs).cast("bigint"))
 
 
 def audit_lines(lines: DataFrame) -> DataFrame:
