@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowsieve.operators import graph, windows
 from flowsieve.plans import tables
 from flowsieve.plans.registry import Registry
-from flowsieve.plans.tables import DECAY, HISTORY, WINDOW, oracle, rounded, sql_round
+from flowsieve.plans.tables import DECAY, HISTORY, WINDOW, oracle, rounded, sql_place, sql_round
 from flowsieve.schemas import BIPARTITE, CONTEXT, GRAPH_FEATURES, GRAPH_POLICIES, NORMALIZED, OBSERVABLE, SWITCH, TEMPORAL
 
 R = Registry()
@@ -56,7 +56,7 @@ _COUNTS = {"ss_edges", "sources", "services", "service_degree_max", "switch_node
 
 
 def _pick(names, source, keys):
-    exprs = [f"{n}" if n in _COUNTS else f"round({n}, 6) + 0.0 AS {n}" for n in names]
+    exprs = [f"{n}" if n in _COUNTS else f"{sql_place(n)} AS {n}" for n in names]
     return oracle(f"SELECT DISTINCT {keys}, {', '.join(exprs)} FROM {source}", **_CTE)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowsieve.operators import bootstrap, curves, metrics, summaries, windows
 from flowsieve.plans import tables
 from flowsieve.plans.registry import Registry
-from flowsieve.plans.tables import WINDOW, oracle, rounded, sql_round
+from flowsieve.plans.tables import WINDOW, oracle, place, rounded, sql_round
 from flowsieve.schemas import BASELINE_POLICY, FEATURES
 
 R = Registry()
@@ -124,7 +124,7 @@ def threshold_curve(spark, folder):
 
 
 def _keep_threshold(df):
-    return df.select(*[F.round(c, 6).alias(c) if c in ("f1", "recall", "fpr") else F.col(c) for c in df.columns])
+    return df.select(*[place(F.col(c)).alias(c) if c in ("f1", "recall", "fpr") else F.col(c) for c in df.columns])
 
 
 @R.add("g5_constrained_best", oracle(f"""SELECT policy, threshold, tn, fp, fn, tp, {sql_round({'f1': 'f1', 'recall': 'recall', 'fpr': 'fpr'})} FROM best""", **_CURVE))
@@ -168,7 +168,7 @@ def threshold_sweep(spark, folder):
       FROM cm""", **_hist("policy", "po")))
 def curve_points(spark, folder):
     c = curves.curve_points(tables.policies(spark, folder), ["policy"])
-    return c.select("policy", "threshold", *[F.round(x, 6).alias(x) for x in ("fpr", "tpr", "precision", "recall")])
+    return c.select("policy", "threshold", *[place(F.col(x)).alias(x) for x in ("fpr", "tpr", "precision", "recall")])
 
 
 def _boot_cte(source: str, key: str, block: str, replicates: int, seed: int, agg: str) -> dict[str, str]:
@@ -235,7 +235,7 @@ def paired_policies(spark, folder):
     return rounded(bootstrap.paired_differences(tables.policies(spark, folder), BASELINE_POLICY, ["fold", "run_id"], 500), 9)
 
 
-@R.add("h14_mcnemar", oracle("""SELECT run_id, a AS policy_only_correct, b AS baseline_only_correct, round(CASE WHEN a = b THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE,
+@R.add("h14_mcnemar", oracle("""SELECT run_id, a AS policy_only_correct, b AS baseline_only_correct, round(1e-9 + CASE WHEN a = b THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE,
       2 * list_sum(list_transform(range(0, least(a, b) + 1), lambda k: exp(lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - (a + b) * ln(2.0::DOUBLE))))) END, 6) + 0.0 AS mcnemar_exact_p FROM
       (SELECT run_id, count(*) FILTER (prediction = label AND bp <> label) AS a, count(*) FILTER (bp = label AND prediction <> label) AS b FROM pr WHERE policy = 'bipartite' GROUP BY run_id)""", **_PAIR))
 def mcnemar(spark, folder):
@@ -429,7 +429,7 @@ def setting_pivot(spark, folder):
         "setting", ["audit_disabled", "audit_enabled", "mitigation_disabled"]).agg(F.first("value")))
 
 
-@R.add("g9_metric_unpivot", oracle("SELECT dataset, seed, setting, metric, round(v, 6) + 0.0 AS value FROM lg", **_TRIAL, lg=_LONG))
+@R.add("g9_metric_unpivot", oracle("SELECT dataset, seed, setting, metric, round(v + 1e-9, 6) + 0.0 AS value FROM lg", **_TRIAL, lg=_LONG))
 def metric_unpivot(spark, folder):
     return rounded(_long_trials(spark, folder))
 

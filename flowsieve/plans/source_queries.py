@@ -339,7 +339,7 @@ def binary_domain(spark, folder):
     return binary_report(tables.events(spark, folder).select(v.alias("v")), "v")
 
 
-@R.add("b14_entropy_clamp", oracle("SELECT row_id, round(greatest(src_ip_entropy - 1.5::DOUBLE, 0), 6) + 0.0 AS src_ip_entropy FROM wf"))
+@R.add("b14_entropy_clamp", oracle("SELECT row_id, round(greatest(src_ip_entropy - 1.5::DOUBLE, 0) + 1e-9, 6) + 0.0 AS src_ip_entropy FROM wf"))
 def entropy_clamp(spark, folder):
     w = windows.switch_windows(tables.events(spark, folder), WINDOW).select("row_id", (F.col("src_ip_entropy") - 1.5).alias("src_ip_entropy"))
     return rounded(records.scoring_features(w))

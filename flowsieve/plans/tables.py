@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 3 * 3600
@@ -260,13 +260,22 @@ def oracle(statement: str, **extra: str) -> str:
     return f"WITH {head}\n{statement}" if head else statement
 
 
+def place(value: Column, digits: int = 6) -> Column:
+    """``value`` at a fixed number of places. A nudge far below them settles exact ties the same way in every engine."""
+    return F.round(value + F.lit(10.0 ** -(digits + 3)), digits) + F.lit(0.0)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles at a fixed number of places so results compare across engines."""
     types = dict(df.dtypes)
     return df.select(*[
-        (F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if types[c] == "double" else F.col(c) for c in df.columns
+        place(F.col(c), digits).alias(c) if types[c] == "double" else F.col(c) for c in df.columns
     ])
 
 
 def sql_round(columns: dict[str, str], digits: int = 6) -> str:
-    return ", ".join(f"round({e}, {digits}) + 0.0 AS {n}" for n, e in columns.items())
+    return ", ".join(f"{sql_place(e, digits)} AS {n}" for n, e in columns.items())
+
+
+def sql_place(expression: str, digits: int = 6) -> str:
+    return f"round({expression} + 1e-{digits + 3}, {digits}) + 0.0"
