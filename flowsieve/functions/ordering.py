@@ -32,13 +32,14 @@ def sliced(
     partitioning the rows already have. ``then`` runs after the range shuffle, so costly
     columns are computed once and not again by the pass that samples the ranges.
     """
-    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*(F.col(c) for c in by), *_plain(order)]
     named = df.withColumns({
         c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"null group key {c}")).cast(t)).otherwise(F.col(c))
         for c, t in df.dtypes if c in by
     }) if by else df
-    ranged = named.repartitionByRange(count, *keys).withColumn(SLICE, F.spark_partition_id())
+    # without a number, adaptive execution merges neighbouring ranges up to its advisory size
+    ranged = named.repartitionByRange(slices, *keys) if slices else named.repartitionByRange(*keys)
+    ranged = ranged.withColumn(SLICE, F.spark_partition_id())
     return written(then(ranged) if then else ranged, "sliced")
 
 
