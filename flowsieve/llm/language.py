@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from flowsieve.llm.common import small_slices
 from flowsieve.llm.crf import Crf, fit, marginals
@@ -178,7 +179,7 @@ def identified(docs: DataFrame) -> DataFrame:
     crf.weights = crf.weights.astype(np.float32)
     docs = docs.drop("held_out", "lang_pred", "score")
     kept = docs.select("text", *[c for c in docs.columns if c != "text"])
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
         label = Labeller(crf)
