@@ -5,26 +5,30 @@ the first and a group of the second, from 60 minima where independent tables wou
 one class from the start. A pair of classes is a candidate if it shares a key; candidates are compared in waves:
 
 1. every class with the smallest class of its buckets;
-2. then, in the buckets that still hold several components, with a growing share of leaders, until all members lead.
+2. in the buckets that still hold several components, with the member that meets most others, as an original among its copies;
+3. what is left: pairs in a bucket with several components whose difference may be small enough. A shingle flips one of 1024
+   bits of its document, so two documents differ in as many shingles as in bits at least: an exact bound, checked in the join.
 
-Pairs that lie in one component already are left out, since they change nothing; every other pair of a bucket is compared.
-So a bucket of copies costs a comparison per member, and no wave emits a bucket's pairs before a smaller one has been tried.
+Pairs that lie in one component already are left out, since they change nothing, and a pair that shares many keys comes from
+the first of them alone. So a bucket of copies costs two comparisons per member, and a family of texts below the similarity is
+told apart by its bits. Every pair that passes is compared on the whole sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.llm.common import by_text, components
 from flowsieve.session import written
 
-GROUPS, ROWS, PERCENT = 10, 3, 80
+GROUPS, ROWS, PERCENT, FLIPS = 10, 3, 80, 1024
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 _KEYS = np.random.default_rng(9).integers(0, 2**64, 2 * GROUPS * ROWS, dtype=np.uint64) | np.uint64(1)
 _EMPTY = np.empty(0, np.uint64)
@@ -74,6 +78,12 @@ def minima(found: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def flips(found: np.ndarray) -> np.ndarray:
+    """Bit by bit, whether an odd number of shingles falls on it."""
+    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % FLIPS, minlength=FLIPS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("sig", pa.list_(pa.int64()))])
 
 
@@ -84,11 +94,24 @@ def _signer(size: int):
         return {
             "doc_id": batch.column(0), "n": [len(s) for s in sets],
             "same": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-            "sig": [minima(s) if len(s) else None for s in sets],
+            "sig": [np.concatenate([minima(s), flips(s)]) if len(s) else None for s in sets],
         }
     return by_text(make, _SIGNED)
 
 
+def first_key() -> Column:
+    """The first key that the signatures ``sig`` and ``sig_a`` share."""
+    own, other = F.col("sig"), F.col("sig_a")
+    place = [F.coalesce(*[F.when(own[b + k] == other[b + k], F.lit(k)) for k in range(GROUPS)]) for b in (0, GROUPS)]
+    return F.xxhash64(place[0], place[1], own[place[0]], own[place[1] + GROUPS])
+
+
+def may_be_near() -> Column:
+    """Whether the flipped bits leave room for the similarity: with sizes n and m it takes at most (n + m) / 9 differences."""
+    bits = [F.bit_count(F.col("sig")[k].bitwiseXOR(F.col("sig_a")[k])) for k in range(2 * GROUPS, 2 * GROUPS + FLIPS // 64)]
+    return (100 + PERCENT) * reduce(lambda a, b: a + b, bits) <= (100 - PERCENT) * (F.col("n") + F.col("m"))
+
+
 def _confirm(size: int):
     """Pairs of texts to pairs whose sets are similar enough, counted in whole numbers."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -141,25 +164,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_b", "text_a")
         return written(both.mapInArrow(_confirm(size), "a bigint, b bigint"), "links")
 
-    done = written(stars, "pairs")
-    links = confirmed(done)
-    share = 1
-    while True:
+    def still_open(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components, and the rows of the buckets that hold several of them."""
         parts = components(links)
         placed = inside.select("key", "id", "n", "members").join(parts, F.col("id") == F.col("v"), "left").select("key", "id", "n", "members", F.coalesce("comp", "id").alias("comp"))
-        open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        inside = written(placed.join(written(open_, "open"), "key", "left_semi").where(F.col("members") > (0 if share == 1 else share)), "open_members")
-        if inside.isEmpty():
-            break
-        share *= 8
-        # about `share` leaders in a bucket; all members of a bucket that is not larger
-        leads = inside.where(F.pmod(F.xxhash64(F.lit(share), "id"), F.ceil(F.col("members") / share)) == 0)
-        leads = leads.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("comp").alias("other"))
-        pairs = inside.join(leads, "key").where((F.col("id") != F.col("a")) & (F.col("comp") != F.col("other")) & fits)
-        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        new = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = done.union(new)
-        links = written(links.union(confirmed(new)), "all_links")
+        several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        return parts, written(placed.join(written(several, "open"), "key", "left_semi"), "open_members")
+
+    done = written(stars, "pairs")
+    links = confirmed(done)
+    _, left = still_open(links)
+    met = written(left.groupBy("id").agg(F.sum("members").alias("met")), "met")
+    centre = left.join(met, "id").groupBy("key").agg(F.max_by(F.struct("id", "n", "comp"), F.struct("met", "id")).alias("c"))
+    centre = written(centre.select("key", F.col("c.id").alias("a"), F.col("c.n").alias("m"), F.col("c.comp").alias("other")), "centres")
+    pairs = left.join(centre, "key").where((F.col("comp") != F.col("other")) & fits).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    new = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    done, links = done.union(new), written(links.union(confirmed(new)), "all_links")
+    _, left = still_open(links)
+    full = written(left.join(classes.select("id", "sig"), "id"), "open_signatures")
+    # of a pair of components one is not the bucket's largest: its members meet all, and the largest never meets itself
+    main = full.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    full = written(full.join(written(main, "main_components"), "key").withColumn("small", F.col("comp") != F.col("main")), "sided")
+    ahead = full.where("small").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("sig").alias("sig_a"))
+    pairs = full.join(ahead, "key").where(
+        (~F.col("small") | (F.col("a") < F.col("id"))) & (F.col("comp") != F.col("other")) & fits & may_be_near() & (F.col("key") == first_key()))
+    pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    new = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    parts = components(written(links.union(confirmed(new)), "all_links"))
     named = classes.join(parts, F.col("id") == F.col("v"), "left").select(F.col("same").alias("_same"), F.coalesce("comp", "id").alias("comp"))
     named = written(named, "class_components")
     out = signed.join(named, F.when(F.col("doc_id").isNotNull(), F.col("same")) == F.col("_same"), "left")

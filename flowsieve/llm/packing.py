@@ -37,7 +37,7 @@ class Packer:
     long is cut, so a sequence stays short only at the end of a task, or when another limit than tokens is met.
     """
 
-    def __init__(self, limits: Limits, pool: int = 1024):
+    def __init__(self, limits: Limits, pool: int = 256):
         self.limits, self.pool = limits, pool
         self.most = np.array([limits.tokens, limits.segments, limits.loss], float)
         self.items: list[tuple] = []
@@ -121,7 +121,7 @@ def _pack(path: str, limits: Limits, pool: int, with_ids: bool):
 
 def packed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limits: Limits = Limits(),
-    pool: int = 1024, with_ids: bool = False,
+    pool: int = 256, with_ids: bool = False,
 ) -> DataFrame:
     """Pieces of documents placed in sequences: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 

@@ -8,8 +8,7 @@ up to a bound and asks the library only for the others. The tests compare this w
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
 
 # fixed values: the characters with Unicode's White_Space property, ASCII marks and digits, Latin letters
 SPACE = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -38,11 +37,13 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known, cut = self.known, [SEGMENT.findall(t) for t in texts]
-        new = list({s for segments in cut for s in segments if s not in known})
+        new = list(set().union(*cut).difference(known))
         ids = self.library.encode_batch_fast(new, add_special_tokens=False)
-        met = {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(new, ids)}
-        if met:
-            room = REMEMBERED - len(known)
-            known.update((s, met[s]) for s in [s for s in new if len(s) <= LONGEST][:max(0, room)])
-            return [b"".join([known[s] if s in known else met[s] for s in segments]) for segments in cut]
-        return [b"".join([known[s] for s in segments]) for segments in cut]
+        before = len(known)
+        known.update([(s, array("I", e.ids).tobytes()) for s, e in zip(new, ids)])
+        out = [b"".join([known[s] for s in segments]) for segments in cut]
+        room = max(0, REMEMBERED - before)
+        for k, s in enumerate(new):
+            if k >= room or len(s) > LONGEST:
+                del known[s]
+        return out
