@@ -25,7 +25,7 @@ from flowsieve.llm.common import small_slices
 from flowsieve.llm.tokens import tokenizer_path
 
 MARK = "▁"
-REMEMBERED, LONGEST = 500_000, 48
+REMEMBERED, LONGEST = 300_000, 48
 UNKNOWN_PENALTY = 10.0
 
 
