@@ -63,10 +63,10 @@ def alerts(decisions: DataFrame, key: list[str], controller: str = "controller_i
     mark = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in key]), 256)
     acted = F.col("action") != "NONE"
     return decisions.filter("detected").select(
-        F.concat(F.lit("alert_"), F.substring(mark, 1, 16)).alias("alert_id"),
+        F.concat(F.lit("alert_"), mark).alias("alert_id"),
         *key, controller, "epoch", "switch_id", "src_ip", "dst_ip", "packet_count", "severity", "action", "method",
         (F.lit(150) + F.col("severity")).alias("priority"), (F.col("epoch") + lifetime).alias("expiry"),
-        acted.alias("mitigated"), F.when(acted, F.concat(F.lit("rule_"), F.substring(mark, 17, 16))).alias("mitigation_rule_id"),
+        acted.alias("mitigated"), F.when(acted, F.concat(F.lit("rule_"), mark)).alias("mitigation_rule_id"),
         F.when(acted, "mitigated").otherwise("detection_only").alias("status"))
 
 

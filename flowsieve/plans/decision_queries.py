@@ -25,9 +25,9 @@ _DEC = {
     "ac": """SELECT *, CASE WHEN method = 'threshold' THEN CASE WHEN severity >= 7 THEN 'BLOCK' WHEN severity >= 1 THEN 'RATE_LIMIT' ELSE 'NONE' END
       WHEN method = 'ml_flow' AND detected AND p_attack >= 0.25::DOUBLE THEN 'BLOCK' WHEN detected THEN 'RATE_LIMIT' ELSE 'NONE' END AS action,
       CAST(floor(us / 1000000) AS BIGINT) AS epoch FROM sd""",
-    "al": """SELECT 'alert_' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 16) AS alert_id, event_id, switch_id AS controller_id, epoch, switch_id, src_ip, dst_ip, packet_count,
+    "al": """SELECT 'alert_' || sha256(CAST(event_id AS VARCHAR)) AS alert_id, event_id, switch_id AS controller_id, epoch, switch_id, src_ip, dst_ip, packet_count,
       severity, action, method, 150 + severity AS priority, epoch + 3600 AS expiry, action <> 'NONE' AS mitigated,
-      CASE WHEN action <> 'NONE' THEN 'rule_' || substr(sha256(CAST(event_id AS VARCHAR)), 17, 16) END AS mitigation_rule_id,
+      CASE WHEN action <> 'NONE' THEN 'rule_' || sha256(CAST(event_id AS VARCHAR)) END AS mitigation_rule_id,
       CASE WHEN action <> 'NONE' THEN 'mitigated' ELSE 'detection_only' END AS status FROM ac WHERE detected""",
 }
 
