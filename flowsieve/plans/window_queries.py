@@ -133,11 +133,11 @@ def running_features(spark, folder):
 
 @R.add("d2_reversal_segments", oracle("""SELECT source_file, position, CAST(sum(flag) OVER (PARTITION BY source_file ORDER BY position) AS BIGINT) AS segment_id
       FROM flagged""",
-      mixed="""SELECT source_file, (position * 7919) % 1000003 AS position, ts_epoch FROM fl""",
+      mixed="""SELECT source_file, (position % 7919) * 1000000000000 + position AS position, ts_epoch FROM fl""",
       flagged="""SELECT *, CASE WHEN ts_epoch < lag(ts_epoch) OVER (PARTITION BY source_file ORDER BY position) THEN 1 ELSE 0 END AS flag FROM mixed"""))
 def reversal_segments(spark, folder):
     rows = tables.flows(spark, folder).select(
-        "source_file", ((F.col("position") * 7919) % 1000003).alias("position"), "ts_epoch")
+        "source_file", ((F.col("position") % 7919) * 1_000_000_000_000 + F.col("position")).alias("position"), "ts_epoch")
     return windows.reversal_segments(rows).select("source_file", "position", F.col("segment_id").cast("bigint"))
 
 
