@@ -7,6 +7,7 @@ up to a bound and asks the library only for the others. The tests compare this w
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 
@@ -28,6 +29,8 @@ class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids; remembers at most ``REMEMBERED`` segments of a worker."""
 
     def __init__(self, path: str):
+        # a task owns one core: the library's own threads would spin beside the other tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
