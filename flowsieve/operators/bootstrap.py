@@ -110,7 +110,15 @@ def _resampled_areas(df: DataFrame, by: Sequence[str], cluster: Sequence[str], n
 
 
 def paired_rows(predictions: DataFrame, baseline: str) -> DataFrame:
-    """Every other policy next to the baseline on (fold, row_id); a missing or relabelled row is an error."""
+    """Every other policy next to the baseline on (fold, row_id).
+
+    A row that a policy lacks or repeats, or that is labelled differently, is an error. The rows of a policy are counted at
+    once, so that a later filter cannot hide a missing one.
+    """
+    policies = predictions.select("policy").distinct().count()
+    scored = predictions.groupBy("fold", "row_id").agg(F.count(F.lit(1)).alias("n"), F.size(F.collect_set("policy")).alias("p"))
+    if not scored.filter((F.col("n") != policies) | (F.col("p") != policies)).isEmpty():
+        raise ValueError("policies scored different test rows")
     base = predictions.filter(F.col("policy") == baseline).select(
         "fold", "row_id", F.col("label").alias("_label"), F.col("prediction").alias("base_prediction"),
         F.col("probability").alias("base_probability"))

@@ -158,6 +158,20 @@ def index_report(windows: DataFrame, keys: Sequence[str], index: str = "window_i
         ((F.min(index) == 0) & (F.max(index) == F.count(F.lit(1)) - 1) & (F.max("_n") == 1)).alias("consecutive"))
 
 
+def require_truth(observations: DataFrame, truth: DataFrame) -> None:
+    """Every observed source must have a role; one source without is an error that names it."""
+    unknown = observations.join(truth, "source_ip", "left_anti").select("source_ip").first()
+    if unknown is not None:
+        raise ValueError(f"source without truth: {unknown['source_ip']}")
+
+
+def require_separate_runs(train: DataFrame, validation: DataFrame) -> None:
+    """Development and validation may not share a run."""
+    shared = validation.join(train.select("run_id"), "run_id", "left_semi").select("run_id").first()
+    if shared is not None:
+        raise ValueError(f"run in development and validation: {shared['run_id']}")
+
+
 def benign_envelope(observations: DataFrame, truth: DataFrame) -> float:
     """Largest benign byte rate of the development rows; one number reaches the driver."""
     joined = observations.join(truth.filter(F.col("is_attacker") == 0), "source_ip", "left_semi")
@@ -211,9 +225,16 @@ def fit_policy(
     train: DataFrame, train_truth: DataFrame, windows: DataFrame, observations: DataFrame, truth: DataFrame,
     multipliers: Sequence[float], persistences: Sequence[int], max_benign_rate: float, ttl: int = 15,
 ) -> tuple[GatePolicy, DataFrame]:
-    """Envelope from development rows, grid entry from validation rows; abstains if none is feasible."""
+    """Envelope from development rows, grid entry from validation rows; abstains if none is feasible.
+
+    A source without truth, or validation rows without benign traffic, are errors.
+    """
+    require_truth(train, train_truth)
+    require_truth(observations, truth)
     grid = candidate_grid(benign_envelope(train, train_truth), multipliers, persistences)
     table = choose_policy(evaluate_grid(windows, observations, truth, grid), max_benign_rate)
+    if table.filter("benign_opportunities > 0").isEmpty():
+        raise ValueError("no benign validation traffic")
     # at most one selected row per distinct grid entry
     chosen = table.filter("selected").select("threshold", "persistence").first()
     if chosen is None:

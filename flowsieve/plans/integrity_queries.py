@@ -88,7 +88,13 @@ def canonical_hash(spark, folder):
         "event_id", integrity.canonical_hash(text).alias("compact"), integrity.spaced_hash(text).alias("spaced"))
 
 
-@R.add("l5_table_hash", oracle("""SELECT count(*) AS rows, CAST(CAST(sum(CAST(CAST('0x' || substr(sha256(event_id || chr(31) || src_ip || chr(31) || packet_count), 1, 15) AS BIGINT) AS HUGEINT)) AS HUGEINT) AS VARCHAR) AS digest_sum FROM ev"""))
+_DIGESTS = "SELECT sha256(" + " || ".join(
+    f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("event_id", "src_ip", "packet_count")) + ") AS d FROM ev"
+_SUMS = " || ':' || ".join(
+    f"CAST(CAST(coalesce(sum(CAST(CAST('0x' || substr(d, {1 + 16 * k}, 16) AS UBIGINT) AS HUGEINT)), 0) AS HUGEINT) AS VARCHAR)" for k in range(4))
+
+
+@R.add("l5_table_hash", oracle(f"SELECT count(*) AS rows, {_SUMS} AS digest_sum FROM ({_DIGESTS})"))
 def table_hash(spark, folder):
     return integrity.table_hash(tables.events(spark, folder), ["event_id", "src_ip", "packet_count"])
 

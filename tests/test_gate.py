@@ -75,6 +75,13 @@ def test_fit_prefers_the_larger_threshold(spark):
     assert len(chosen) == 1 and (chosen[0].attack_targets, chosen[0].benign_targets, chosen[0].benign_opportunities) == (1, 0, 3)
     none, _ = gate.fit_policy(obs, roles, w, obs, roles, [20], [1], 0.01)
     assert none.byte_rate_threshold is None and none.consecutive_windows == 2
+    with pytest.raises(ValueError, match="without truth"):
+        gate.fit_policy(obs, roles, w, obs, roles.filter("is_attacker = 1"), [1], [1], 0.01)
+    with pytest.raises(ValueError, match="no benign validation traffic"):
+        gate.fit_policy(obs, roles, w, obs, roles.withColumn("is_attacker", F.lit(1)), [1], [1], 0.01)
+    with pytest.raises(ValueError, match="development and validation"):
+        gate.require_separate_runs(obs, obs)
+    gate.require_separate_runs(obs, obs.withColumn("run_id", F.lit("other")))
 
 
 def test_published_grid_selects_its_row(spark):

@@ -191,3 +191,11 @@ def test_ordered_helpers_do_not_depend_on_slices(spark, slices):
 def test_null_group_key_is_an_error(spark):
     with pytest.raises(Exception, match="null group key"):
         sliced(spark.createDataFrame([(None, 1)], "g string, t int"), ["g"], ["t"])
+
+
+def test_digests_tell_rows_apart(spark):
+    rows = [("x\u001fy", "z"), ("x", "y\u001fz"), ("", "a"), (None, "a"), ("\u0000", "a"), ("-", "a"), ("1:b", "a")]
+    found = spark.createDataFrame(rows, "a string, b string").select(integrity.row_digest(["a", "b"]).alias("d")).distinct()
+    assert found.count() == len(rows)
+    none = integrity.table_hash(spark.createDataFrame([], "a string"), ["a"]).first()
+    assert (none.rows, none.digest_sum) == (0, "0:0:0:0")

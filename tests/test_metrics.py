@@ -124,6 +124,10 @@ def test_paired_policies(spark):
     broken = predictions(spark).withColumn("label", F.when((F.col("policy") == "new") & (F.col("row_id") == "r0"), 0).otherwise(F.col("label")))
     with pytest.raises(Exception, match="different test rows"):
         bootstrap.paired_rows(broken, "base").collect()
+    base_row = (F.col("policy") == "base") & (F.col("row_id") == "r0")
+    for wrong in (predictions(spark).filter(~base_row), predictions(spark).filter("policy = 'base' or row_id <> 'r0'"), predictions(spark).union(predictions(spark).filter(base_row))):
+        with pytest.raises(ValueError, match="different test rows"):
+            bootstrap.paired_rows(wrong, "base")
 
 
 def test_special_functions():
