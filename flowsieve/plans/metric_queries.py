@@ -189,7 +189,7 @@ def block_bootstrap(spark, folder):
     return rounded(bootstrap.block_intervals(tables.scores(spark, folder), ["dataset"], ["run_id"]))
 
 
-_H12 = 200
+_H12 = 2000
 
 
 @R.add("h12_cluster_bootstrap", oracle(f"""SELECT dataset, metric, {sql_round({'lower_95': 'quantile_cont(v, 0.025)', 'upper_95': 'quantile_cont(v, 0.975)'})},
@@ -213,7 +213,7 @@ def cluster_bootstrap(spark, folder):
 _PAIR = {
     "bl": "SELECT fold, row_id, prediction AS bp, probability AS bq FROM po WHERE policy = 'ml_window_baseline'",
     "pr": "SELECT po.*, bp, bq FROM po JOIN bl USING (fold, row_id) WHERE policy <> 'ml_window_baseline'",
-    **_boot_cte("pr", "policy", "fold, run_id", 500, 9127, f"""count(*) AS n, count(*) FILTER (label = 1 AND prediction = 1) AS tpa,
+    **_boot_cte("pr", "policy", "fold, run_id", 2000, 9127, f"""count(*) AS n, count(*) FILTER (label = 1 AND prediction = 1) AS tpa,
       count(*) FILTER (label = 1) + count(*) FILTER (prediction = 1) AS dna, count(*) FILTER (label = 1 AND bp = 1) AS tpb,
       count(*) FILTER (label = 1) + count(*) FILTER (bp = 1) AS dnb, sum({GAIN.format(a='prediction')} - {GAIN.format(a='bp')}) AS gain,
       count(*) FILTER (prediction <> bp) AS dis, count(*) FILTER (prediction = label AND bp <> label) AS po_only,
@@ -232,7 +232,7 @@ _PAIR = {
           'reward_mean_difference': 'gain / n', 'f1_diff_ci_lower': 'fl', 'f1_diff_ci_upper': 'fu', 'reward_diff_ci_lower': 'gl', 'reward_diff_ci_upper': 'gu'}, 9)},
       ba_only AS baseline_only_correct, po_only AS policy_only_correct, nf AS f1_valid_replicates FROM pt JOIN bd USING (policy)""", **_PAIR))
 def paired_policies(spark, folder):
-    return rounded(bootstrap.paired_differences(tables.policies(spark, folder), BASELINE_POLICY, ["fold", "run_id"], 500), 9)
+    return rounded(bootstrap.paired_differences(tables.policies(spark, folder), BASELINE_POLICY, ["fold", "run_id"], 2000), 9)
 
 
 @R.add("h14_mcnemar", oracle("""SELECT run_id, a AS policy_only_correct, b AS baseline_only_correct, round(1e-9 + CASE WHEN a = b THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE,
@@ -449,13 +449,13 @@ def schedule_mismatches(spark, folder):
 
 @R.add("f2_metrics_with_intervals", oracle(f"""SELECT c.*, {sql_round({f'{m}_ci_{s}': f"(SELECT {q} FROM bo WHERE bo.dataset = c.dataset AND bo.metric = '{m}')" for m in ('f1', 'recall') for s, q in (('lower', 'lo'), ('upper', 'hi'))})}
       FROM c""", c=f"SELECT dataset, {COUNTS_SQL} FROM sc GROUP BY dataset",
-      **_boot_cte("sc", "dataset", "run_id", 500, 20260928, COUNTS_SQL),
+      **_boot_cte("sc", "dataset", "run_id", 2000, 20260928, COUNTS_SQL),
       rs="SELECT dataset, r, sum(tn) AS tn, sum(fp) AS fp, sum(fn) AS fn, sum(tp) AS tp FROM dr JOIN nb USING (dataset, i) GROUP BY dataset, r",
       bo=f"""SELECT dataset, metric, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM (
         SELECT dataset, 'f1' AS metric, {ZERO_SQL['f1']} AS v FROM rs UNION ALL SELECT dataset, 'recall', {ZERO_SQL['recall']} FROM rs) GROUP BY dataset, metric"""))
 def metrics_with_intervals(spark, folder):
     s = tables.scores(spark, folder)
-    bounds = bootstrap.block_intervals(s, ["dataset"], ["run_id"], 500)
+    bounds = bootstrap.block_intervals(s, ["dataset"], ["run_id"], 2000)
     return rounded(summaries.with_intervals(metrics.confusion(s, ["dataset"]), bounds, ["dataset"], ["f1", "recall"]))
 
 
