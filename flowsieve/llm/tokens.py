@@ -14,7 +14,7 @@ from array import array
 # fixed values: the characters with Unicode's White_Space property, ASCII marks and digits, Latin letters
 SPACE = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 MARK, LETTER = r"!-@\[-`{-~", "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-SEGMENT = re.compile(f"[{SPACE}]*[{MARK}]*[{LETTER}]+(?=[{MARK}])|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+SEGMENT = re.compile(f"[{SPACE}]*+(?:[{MARK}]*+[{LETTER}]++(?:(?=[{MARK}])|[^{SPACE}]*+)|[^{SPACE}]++)|[{SPACE}]++")
 END_ID = 2
 REMEMBERED, LONGEST = 300_000, 64
 
