@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.operators import decide, gate
+from flowsieve.operators import decide, gate, models, windows
 from flowsieve.plans import tables
 from flowsieve.plans.decision_queries import _DEC, _DELTA, _GATE, _POLLS, _threshold, polls
 from flowsieve.plans.registry import Registry
@@ -26,11 +26,19 @@ def _event_stream(spark, folder):
 
 
 def _replayed(df, label):
-    """A stream over files written from ``df``, one file per trigger."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
+    """A stream over files written from ``df``; what is there comes in one trigger, whatever the number of files."""
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+def _arriving(parts, label, run):
+    """``run`` over a stream of each part in turn, with the state of the parts before: event time decides, not arrival."""
+    spark, path, out = parts[0].sparkSession, scratch_path(parts[0].sparkSession, label), None
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        out = run(spark.readStream.schema(part.schema).parquet(path))
+    return out
 
 
 # a window comes out once the watermark, the latest event time in milliseconds less the delay, has passed its end
@@ -43,21 +51,36 @@ def completed_windows(spark, folder):
     return rounded(flows.run_available(out, scratch_path(spark, "completed")))
 
 
-@R.add("k3_late_rows", oracle(f"""SELECT run_id, window_start, count(*) AS events FROM ev, wm WHERE window_start + 10800 <= t GROUP BY ALL""", **_CLOSED))
+_LATE = {
+    "w1": f"SELECT (max(us) // 1000) / 1000.0::DOUBLE - {DELAY} AS t1 FROM ev WHERE event_id % 7 <> 0", **_CLOSED,
+    "pl": "SELECT run_id, window_start, event_id % 7 = 0 AND window_start + 10800 <= t1 AS late FROM ev, w1",
+}
+
+
+@R.add("k3_late_rows", oracle("""SELECT run_id, window_start, count(*) FILTER (NOT late) AS events, count(*) FILTER (late) AS dropped FROM pl, wm
+      WHERE window_start + 10800 <= t GROUP BY ALL""", **_LATE))
 def late_rows(spark, folder):
-    # rows of one file in any order: event time decides, not arrival
-    e = tables.events(spark, folder).repartition(1, "event_id").sortWithinPartitions(F.xxhash64("event_id"))
-    out = flows.completed_windows(_replayed(e, "shuffled"), WINDOW, DELAY)
-    return flows.run_available(out, scratch_path(spark, "late")).groupBy("run_id", "window_start").agg(F.sum("events").alias("events"))
+    # a seventh of the rows comes after the watermark of the others
+    e = tables.events(spark, folder)
+    first, second = e.filter("event_id % 7 <> 0"), e.filter("event_id % 7 = 0")
+    place = scratch_path(spark, "late")
+    out = _arriving([first, second], "late-input", lambda s: flows.run_available(flows.completed_windows(s, WINDOW, DELAY), place))
+    found = out.groupBy("run_id", "window_start").agg(F.sum("events").alias("events"))
+    passed = first.agg(F.max("event_ts").alias("m")).select(F.unix_millis("m") / 1000 - DELAY).first()[0]
+    dropped = flows.behind_watermark(second, F.lit(passed), WINDOW)
+    zero = F.lit(0).cast("bigint")
+    return found.join(dropped, ["run_id", "window_start"], "full").select(
+        "run_id", "window_start", F.coalesce("events", zero).alias("events"), F.coalesce("dropped", zero).alias("dropped"))
 
 
 @R.add("k1_live_windows", oracle(f"SELECT run_id, window_start, switch_id, dst_ip, events, unique_src, {sql_round(_FEATURE_SQL)} FROM wf"))
 def live_windows(spark, folder):
-    e = tables.events(spark, folder).repartition(4, "event_id")
-    live = flows.LiveWindows(scratch_path(spark, "live"), WINDOW, 40 * 86400).run(_replayed(e, "live-input"))
-    keys = ["run_id", "window_start", "switch_id", "dst_ip"]
-    last = live.groupBy(*keys).agg(F.max_by(F.struct(*FEATURES), "batch").alias("f"))
-    return rounded(last.select(*keys, "f.*"))
+    # two arrivals in time order: windows of the first are closed when the second comes
+    e, day = tables.events(spark, folder), F.dayofmonth("event_ts")
+    sink = flows.BatchSink(scratch_path(spark, "live"))
+    changes = _arriving(
+        [e.filter(day <= 15), e.filter(day > 15)], "live-input", lambda s: sink.run(flows.live_counts(s, WINDOW, DELAY), "update"))
+    return rounded(flows.live_windows(changes, WINDOW))
 
 
 @R.add("k4_streaming_decisions", oracle(f"""SELECT run_id, window_start, switch_id, dst_ip, {sql_round({'probability': 'p'})}, CASE WHEN p >= 0.3::DOUBLE THEN 1 ELSE 0 END AS prediction,
@@ -70,6 +93,22 @@ def streaming_decisions(spark, folder):
     return rounded(flows.run_available(decided, scratch_path(spark, "decided")))
 
 
+@R.add("k4_streaming_model", oracle("""SELECT run_id, window_start, switch_id, dst_ip, true AS same_probability, true AS same_action, true AS in_range FROM wf, wm WHERE window_end <= t""", **_CLOSED))
+def streaming_model(spark, folder):
+    """A fitted detector on closed windows of the stream gives what it gives in batch."""
+    w = windows.switch_windows(tables.events(spark, folder), WINDOW)
+    taught = w.filter(F.dayofmonth(F.to_date("run_id")) <= 20).withColumn("teacher", F.least(F.col("pkt_sum") / 1000, F.lit(1.0)))
+    detector = models.Detector("imitation_regularized_classifier", models.fit_soft_logistic(taught, FEATURES), FEATURES, 0.5)
+    closed = flows.completed_windows(_event_stream(spark, folder), WINDOW, DELAY)
+    keys = ["run_id", "window_start", "switch_id", "dst_ip"]
+    live = flows.run_available(flows.scored_windows(closed, detector).select(*keys, "probability", "action"), scratch_path(spark, "scored"))
+    batch = detector.predict(w).select(*keys, F.col("probability").alias("p"), F.col("action").alias("a"))
+    p = F.col("probability")
+    return live.join(batch, keys, "left").select(
+        *keys, F.coalesce(F.abs(p - F.col("p")) < 1e-9, F.lit(False)).alias("same_probability"),
+        F.col("action").eqNullSafe(F.col("a")).alias("same_action"), p.between(0, 1).alias("in_range"))
+
+
 def _stamped(df, index="window_index", step=WINDOW):
     start = F.to_timestamp("run_id", "yyyy-MM-dd")
     return df.withColumn("window_ts", start + F.make_dt_interval(secs=(F.col(index) * step).cast("decimal(18,6)")))
@@ -81,8 +120,8 @@ def _stamped(df, index="window_index", step=WINDOW):
 def streaming_gate(spark, folder):
     observed = tables.observations(spark, folder)
     policy = gate.GatePolicy(_threshold(observed), 2)
-    obs = _replayed(_stamped(observed).coalesce(1), "observations")
-    marks = _replayed(_stamped(tables.gate_windows(spark, folder).drop("label")).coalesce(1), "predictions")
+    obs = _replayed(_stamped(observed), "observations")
+    marks = _replayed(_stamped(tables.gate_windows(spark, folder).drop("label")), "predictions")
     return flows.run_available(flows.gate_decisions(obs, marks, policy, WINDOW, DELAY), scratch_path(spark, "gate"))
 
 
@@ -92,7 +131,7 @@ def streaming_counter_deltas(spark, folder):
     start = F.to_timestamp("run_id", "yyyy-MM-dd")
     second = (F.col("window_index") * WINDOW + F.col("poll_index") * 1800).cast("decimal(18,6)")
     p = polls(spark, folder).withColumn("poll_ts", start + F.make_dt_interval(secs=second))
-    return flows.run_available(flows.counter_deltas(_replayed(p.coalesce(1), "polls"), 1800, DELAY), scratch_path(spark, "deltas"))
+    return flows.run_available(flows.counter_deltas(_replayed(p, "polls"), 1800, DELAY), scratch_path(spark, "deltas"))
 
 
 def _alert_stream(spark, folder):
@@ -106,7 +145,7 @@ def _alert_stream(spark, folder):
 
 @R.add("k8_alert_stream", oracle("SELECT * FROM al", **_DEC))
 def alert_stream(spark, folder):
-    return flows.AlertSink(scratch_path(spark, "alerts")).run(_alert_stream(spark, folder))
+    return flows.BatchSink(scratch_path(spark, "alerts")).run(_alert_stream(spark, folder)).drop("batch")
 
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -98,65 +98,44 @@ def run_available(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-class LiveWindows:
-    """Features of still-open windows after every micro-batch.
+def live_counts(events: DataFrame, seconds: int, delay: int) -> DataFrame:
+    """Per-source sums of open windows, for update mode: a batch gives out the sums it changed.
 
-    Each batch adds its per-source counts to a table of open windows and reports the
-    windows it touched. A window leaves the table once the latest event seen is ``delay``
-    past its end; later rows for it are dropped, as a watermark would. Tables are named by
-    batch id and written in overwrite mode, so a retried batch writes the same result.
+    State and eviction are Spark's: a window leaves the state once the watermark is past its end, and later rows for it are dropped.
     """
+    keys = ["run_id", "window", "switch_id", "dst_ip"]
+    rows = events.withWatermark("event_ts", _seconds(delay)).withColumn("window", F.window("event_ts", _seconds(seconds)))
+    return source_counts(rows, keys, "src_ip", {
+        "_pkt": F.col("packet_count"), "_byte": F.col("byte_count"), "_flow": F.col("flow_count")})
 
-    def __init__(self, path: str, seconds: int, delay: int) -> None:
-        self.path, self.seconds, self.delay = path, seconds, delay
-        self.keys = ["run_id", "window_start", "switch_id", "dst_ip"]
-        self.sums = ["_n", "_pkt", "_byte", "_flow"]
 
-    def __call__(self, rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        micros = F.unix_micros("event_ts")
-        start = ((micros - F.pmod(micros, F.lit(self.seconds * 1_000_000))) / 1_000_000).cast("bigint")
-        placed = rows.withColumn("window_start", start)
-        latest = placed.agg(F.max(micros).alias("m")).first()["m"]
-        closed = None
-        if batch > 0:
-            # one number per batch: the highest event time of all earlier batches
-            closed = spark.read.parquet(f"{self.path}/clock/batch={batch - 1}").first()["latest"]
-        open_rows = placed if closed is None else placed.filter(
-            F.col("window_start") + self.seconds > F.lit(closed / 1e6 - self.delay))
-        counts = source_counts(open_rows, self.keys, "src_ip", {
-            "_pkt": F.col("packet_count"), "_byte": F.col("byte_count"), "_flow": F.col("flow_count")})
-        merged = counts
-        if closed is not None:
-            earlier = spark.read.parquet(f"{self.path}/state/batch={batch - 1}").filter(
-                F.col("window_start") + self.seconds > F.lit(closed / 1e6 - self.delay))
-            merged = earlier.unionByName(counts)
-        target = f"{self.path}/state/batch={batch}"
-        merged.groupBy(*self.keys, "_src").agg(*[F.sum(c).alias(c) for c in self.sums]).write.mode("overwrite").parquet(target)
-        top = max(v for v in (latest, closed) if v is not None)
-        spark.range(1).select(F.lit(top).alias("latest")).write.mode("overwrite").parquet(f"{self.path}/clock/batch={batch}")
-        touched = open_rows.select(*self.keys).distinct()
-        kept = spark.read.parquet(target).join(touched, self.keys, "left_semi")
-        totals = window_totals(kept, self.keys, ["_pkt", "_byte", "_flow"])
-        flows = F.when(F.col("_flow") > 0, F.col("_flow")).otherwise(F.col("_events"))
-        _features(totals, self.keys, self.seconds, flows).write.mode("overwrite").parquet(f"{self.path}/live/batch={batch}")
-
-    def run(self, stream: DataFrame) -> DataFrame:
-        query = (stream.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.path}/progress").trigger(availableNow=True).start())
-        query.awaitTermination()
-        return stream.sparkSession.read.option("basePath", f"{self.path}/live").parquet(f"{self.path}/live")
+def live_windows(changes: DataFrame, seconds: int) -> DataFrame:
+    """Features of every window as of the last batch in ``changes``, the sink of ``live_counts``."""
+    keys = ["run_id", "window", "switch_id", "dst_ip"]
+    sums = [c for c in changes.columns if c not in (*keys, "_src", "batch")]
+    latest = changes.groupBy(*keys, "_src").agg(F.max_by(F.struct(*sums), "batch").alias("_last")).select(*keys, "_src", "_last.*")
+    flows = F.when(F.col("_flow") > 0, F.col("_flow")).otherwise(F.col("_events"))
+    return _features(window_totals(latest, keys, ["_pkt", "_byte", "_flow"]), keys, seconds, flows).select(
+        "run_id", F.unix_seconds(F.col("window.start")).alias("window_start"), "switch_id", "dst_ip", *FEATURES)
+
+
+def behind_watermark(events: DataFrame, watermark: Column, seconds: int) -> DataFrame:
+    """Rows whose window had ended at ``watermark`` (epoch seconds): those a stream with that watermark drops, per window."""
+    start = F.unix_seconds(F.window("event_ts", _seconds(seconds))["start"])
+    late = events.withColumn("window_start", start).filter(F.col("window_start") + seconds <= watermark)
+    return late.groupBy("run_id", "window_start").agg(F.count(F.lit(1)).alias("dropped"))
 
 
-class AlertSink:
-    """Append alerts per batch; a retried batch replaces its own folder."""
+class BatchSink:
+    """Rows of each batch in a folder of its own; a retried batch replaces that folder."""
 
     def __init__(self, path: str) -> None:
         self.path = path
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/alerts/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
 
-    def run(self, alerts: DataFrame) -> DataFrame:
-        query = (alerts.writeStream.foreachBatch(self).option("checkpointLocation", f"{self.path}/progress").trigger(availableNow=True).start())
+    def run(self, stream: DataFrame, mode: str = "append") -> DataFrame:
+        query = (stream.writeStream.foreachBatch(self).outputMode(mode).option("checkpointLocation", f"{self.path}/progress").trigger(availableNow=True).start())
         query.awaitTermination()
-        return alerts.sparkSession.read.option("basePath", f"{self.path}/alerts").parquet(f"{self.path}/alerts").drop("batch")
+        return stream.sparkSession.read.option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows")
