@@ -6,10 +6,14 @@
 3. Descent: the vectors that a vector's list and those whose lists hold it are its neighbours; they are compared with each
    other (neighbours of neighbours), and each list takes the better ones, until a round changes few lists. A vector that many
    lists hold is spread over several local joins of bounded size.
-4. Audit: a fixed number of vectors is compared with all others. If less than ``RECALL`` of their links are in classes, more
+4. Links: every link that a block or a local join meets counts for the classes, whatever the lists hold. It gives out a
+   spanning forest of its links, which joins the same vectors and has no more rows than the block.
+5. Dense classes: a list full of its own class says nothing of others, so a list has ``K`` more places for vectors outside
+   the class. Classes of more than ``K`` members are sorted again by samples, and the descent goes on, until none meet.
+6. Audit: a fixed number of vectors is compared with all others. If less than ``RECALL`` of their links are in classes, more
    tables are sorted and the descent goes on.
-5. Enlargement: a list whose ``K`` entries all are links is saturated: it cannot name all links. The lists of a class are
-   enlarged to the class: its members are compared in blocks and counted; no pair leaves a task.
+7. Enlargement: the lists of a class are enlarged to the class: its members are compared in blocks and counted; no pair
+   leaves a task.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ from flowsieve.session import written
 LINK, EXPLORE, K = 0.9, 0.5, 12
 TABLES, BITS, BLOCK, SPREAD, TILE = 8, 24, 96, 64, 128
 RECALL, AUDITED, ROUNDS, CHANGED = 0.99, 512, 6, 0.01
+MOST_TABLES = 8 * TABLES
 
-_EDGES = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("cos", pa.float64())])
-_EDGE_ROW = "u bigint, w bigint, cos double"
+# away: not of one class, as far as the task knows; link: an edge of the task's spanning forest and no entry of a list
+_EDGES = pa.schema([("u", pa.int64()), ("w", pa.int64()), ("cos", pa.float64()), ("away", pa.bool_()), ("link", pa.bool_())])
+_EDGE_ROW = "u bigint, w bigint, cos double, away boolean, link boolean"
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -35,18 +41,48 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), -1)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, least: float) -> dict:
-    """For each vector its ``K`` best of the others at ``least`` or above."""
+def _forest(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector its tree in a spanning forest and the vector that it hangs on, itself for a root."""
+    tree, on = np.arange(len(joined)), np.arange(len(joined))
+    free = joined.any(1)
+    for root in np.flatnonzero(free):
+        if free[root]:
+            free[root], edge = False, np.array([root])
+            while len(edge):
+                reach = joined[edge] & free
+                new = np.flatnonzero(reach.any(0))
+                on[new], tree[new], free[new] = edge[reach[:, new].argmax(0)], root, False
+                edge = new
+    return tree, on
+
+
+def _best(ids: np.ndarray, x: np.ndarray, least: float, classes: np.ndarray) -> dict:
+    """For each vector its ``K`` best of the others at ``least`` or above, ``K`` more outside its class if these are all in it,
+    and a spanning forest of all links between classes."""
     cos = x @ x.T
     np.fill_diagonal(cos, -2)
-    k = min(K, len(ids) - 1)
-    if k < 1:
-        return {"u": [], "w": [], "cos": []}
-    top = np.argpartition(-cos, k - 1, axis=1)[:, :k] if k < len(ids) - 1 else np.tile(np.arange(len(ids)), (len(ids), 1))
-    u, w = np.repeat(np.arange(len(ids)), top.shape[1]), top.ravel()
-    good = (cos[u, w] >= least) & (u != w) & (ids[u] != ids[w])
-    u, w = u[good], w[good]
-    return {"u": ids[u], "w": ids[w], "cos": cos[u, w]}
+    n = len(ids)
+    same = classes[:, None] == classes[None, :]
+    tree, on = _forest((cos >= LINK) | same & ~np.eye(n, dtype=bool))
+    away = tree[:, None] != tree[None, :]
+
+    def top(cos):
+        k = min(K, n - 1)
+        w = np.argpartition(-cos, k - 1, axis=1)[:, :k] if 0 < k < n - 1 else np.tile(np.arange(n), (n, 1))
+        u, w = np.repeat(np.arange(n), w.shape[1]), w.ravel()
+        good = (cos[u, w] >= least) & (u != w)
+        return u[good], w[good]
+
+    u, w = top(cos)
+    full = np.flatnonzero((np.bincount(u, minlength=n) >= min(K, n - 1)) & (np.bincount(u[away[u, w]], minlength=n) == 0))
+    if len(full) and away[full].any():
+        more, behind = top(np.where(away, cos, -2))
+        mine = np.isin(more, full)
+        u, w = np.concatenate([u, more[mine]]), np.concatenate([w, behind[mine]])
+    hung = np.flatnonzero((on != np.arange(n)) & ~same[np.arange(n), on])
+    link = np.repeat([False, True], [len(u), len(hung)])
+    u, w = np.concatenate([u, hung]), np.concatenate([w, on[hung]])
+    return {"u": ids[u], "w": ids[w], "cos": cos[u, w], "away": away[u, w], "link": link}
 
 
 def _sorted_blocks(batches):
@@ -61,7 +97,7 @@ def _sorted_blocks(batches):
             at = start
             while end - at >= BLOCK or (at < end and (last or end < len(key))):
                 part = rows.slice(at, min(BLOCK, end - at))
-                yield pa.RecordBatch.from_pydict(_best(part.column("id").to_numpy(), _matrix(part.column("x")), EXPLORE), schema=_EDGES)
+                yield pa.RecordBatch.from_pydict(_best(part.column("id").to_numpy(), _matrix(part.column("x")), EXPLORE, part.column("c").to_numpy()), schema=_EDGES)
                 at += part.num_rows
             if end == len(key):
                 held = rows.slice(at) if at < end else None
@@ -80,15 +116,24 @@ def _local_join(batches):
             members = batch.column("members")[row].values
             ids = members.field("id").to_numpy()
             _, once = np.unique(ids, return_index=True)
-            yield pa.RecordBatch.from_pydict(_best(ids[once], _matrix(members.field("x"))[once], EXPLORE), schema=_EDGES)
+            yield pa.RecordBatch.from_pydict(_best(ids[once], _matrix(members.field("x"))[once], EXPLORE, members.field("c").to_numpy()[once]), schema=_EDGES)
 
 
 def _top(edges: DataFrame) -> DataFrame:
-    once = edges.groupBy("u", "w").agg(F.max("cos").alias("cos"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("cos").desc(), "w"))
+    """``u, w, cos, away``: for each vector the ``K`` best inside its class and the ``K`` best outside."""
+    once = edges.groupBy("u", "w").agg(F.max("cos").alias("cos"), F.bool_and("away").alias("away"))
+    rank = F.row_number().over(Window.partitionBy("u", "away").orderBy(F.col("cos").desc(), "w"))
     return once.withColumn("r", rank).where(F.col("r") <= K).drop("r")
 
 
+def _lists(edges: DataFrame) -> DataFrame:
+    return edges.where("not link").drop("link")
+
+
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.where("link").select(F.col("u").alias("a"), F.col("w").alias("b"))
+
+
 def vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id, x``: unit vectors in double precision; x is null for a vector that cannot have a link."""
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
@@ -104,7 +149,7 @@ def vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def _coded(tables: range):
     """Each vector once for each table, with the table's signs as a code."""
-    schema = pa.schema([("t", pa.int32()), ("d", pa.int32()), ("code", pa.int64()), ("id", pa.int64()), ("x", pa.list_(pa.float64()))])
+    schema = pa.schema([("t", pa.int32()), ("d", pa.int32()), ("code", pa.int64()), ("id", pa.int64()), ("c", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def run(batches):
         for batch in batches:
@@ -116,20 +161,21 @@ def _coded(tables: range):
                     planes = np.random.default_rng([t, int(d)]).standard_normal((int(d), BITS))
                     code = ((x @ planes > 0) @ (1 << np.arange(BITS, dtype=np.int64)[::-1])).astype(np.int64)
                     n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.full(n, d, np.int32)), pa.array(code), part.column("id"), part.column("x")], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.full(n, d, np.int32)), pa.array(code), part.column("id"), part.column("c"), part.column("x")], schema=schema)
     return run
 
 
 def seeded(distinct: DataFrame, tables: range) -> DataFrame:
-    coded = distinct.select("id", "x").mapInArrow(_coded(tables), "t int, d int, code bigint, id bigint, x array<double>")
+    """Edges from the blocks of some tables; ``distinct`` has ``id, c, x``."""
+    coded = distinct.select("id", "c", "x").mapInArrow(_coded(tables), "t int, d int, code bigint, id bigint, c bigint, x array<double>")
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = coded.repartitionByRange(parts, "t", "d", "code", "id").sortWithinPartitions("t", "d", "code", "id")
     return ranged.mapInArrow(_sorted_blocks, _EDGE_ROW)
 
 
-def descended(distinct: DataFrame, graph: DataFrame) -> DataFrame:
-    """Rounds of local joins over a graph of ``u, w, cos`` until few lists change."""
-    members = distinct.select(F.col("id").alias("w"), "x")
+def descended(distinct: DataFrame, graph: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rounds of local joins over a graph of ``u, w, cos, away`` until few lists change; the graph, and all links met."""
+    members = distinct.select(F.col("id").alias("w"), "c", "x")
     for _ in range(ROUNDS):
         held = graph.groupBy(F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("n"))
         held = written(held.withColumn("parts", F.ceil(F.col("n") / SPREAD).cast("int")).where("parts > 1").select("v", "parts"), "hubs")
@@ -138,14 +184,45 @@ def descended(distinct: DataFrame, graph: DataFrame) -> DataFrame:
         own = graph.select(F.col("u").alias("v"), "w").union(graph.select(F.col("u").alias("v"), F.col("u").alias("w")).distinct())
         own = own.join(held, "v", "left").select("v", "w", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
         near = own.union(back).distinct().join(members, "w")
-        joins = near.groupBy("v", "part").agg(F.collect_list(F.struct(F.col("w").alias("id"), "x")).alias("members")).select("members")
-        new = joins.mapInArrow(_local_join, _EDGE_ROW)
-        better = written(_top(graph.union(new)), "graph")
+        joins = near.groupBy("v", "part").agg(F.collect_list(F.struct(F.col("w").alias("id"), "c", "x")).alias("members")).select("members")
+        new = written(joins.mapInArrow(_local_join, _EDGE_ROW), "joined")
+        links = written(links.union(_links(new)).distinct(), "links")
+        better = written(_top(graph.union(_lists(new))), "graph")
         gained, size = better.join(graph, ["u", "w"], "left_anti").count(), better.count()
         graph = better
         if gained <= CHANGED * size:
             break
-    return graph
+    return graph, links
+
+
+def met(distinct: DataFrame, classes: DataFrame, graph: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes and links after those of more than ``K`` members have been compared by samples until no two of them meet.
+
+    A link between two vectors that both have more than ``K`` links in their classes can be in neither's list; the link of a
+    vector with fewer is in its own.
+    """
+    again = 0
+    while True:
+        sizes = written(classes.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > K), "dense_sizes")
+        count = sizes.count()
+        if count < 2:
+            return classes, links
+        dense = classes.join(sizes, "comp").select(F.col("v").alias("id"), F.col("comp").alias("c"), "n")
+        dense = written(distinct.select("id", "x").join(dense, "id"), "dense")
+        again += 1
+        # as many of each class, so that a block holds several classes however large they are
+        few = dense.where(F.pmod(F.xxhash64(F.lit(again), "id"), F.col("n")) < SPREAD)
+        first = MOST_TABLES * again
+        found = written(seeded(few, range(first, first + TABLES)), "seeded")
+        u, w = dense.select(F.col("id").alias("u"), F.col("c").alias("cu")), dense.select(F.col("id").alias("w"), F.col("c").alias("cw"))
+        old = graph.drop("away").join(u, "u").join(w, "w").select("u", "w", "cos", (F.col("cu") != F.col("cw")).alias("away"))
+        links = written(links.union(_links(found)), "links")
+        # inside a class nothing is sought any more, so only lists that look out of it go on
+        out = _top(old.union(_lists(found))).withColumn("any", F.max("away").over(Window.partitionBy("u"))).where("any").drop("any")
+        _, links = descended(dense, written(out, "graph"), links)
+        before, classes = classes, components(links)
+        if classes.select("comp").distinct().count() == before.select("comp").distinct().count():
+            return classes, links
 
 
 def _audit(queries: list, matrix: np.ndarray):
@@ -221,14 +298,16 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     every = written(vectors(rows, id_col, vector_col), "vectors")
     distinct = every.where("x is not null").groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
     distinct = written(distinct, "distinct_vectors")
-    graph, first = None, 0
-    while True:
-        found = seeded(distinct, range(first, first + TABLES))
-        graph = descended(distinct, written(_top(found if graph is None else graph.union(found)), "graph"))
-        classes = components(graph.where(F.col("cos") >= LINK).select(F.col("u").alias("a"), F.col("w").alias("b")))
-        same, links = recall(distinct, classes)
-        first += TABLES
-        if same >= RECALL * links or first >= 8 * TABLES:
+    single = distinct.select("id", F.col("id").alias("c"), "x")
+    graph = links = None
+    for first in range(0, MOST_TABLES, TABLES):
+        found = written(seeded(single, range(first, first + TABLES)), "seeded")
+        links = _links(found) if links is None else links.union(_links(found))
+        lists = _lists(found) if graph is None else graph.union(_lists(found))
+        graph, links = descended(single, written(_top(lists), "graph"), links)
+        classes, links = met(distinct, components(links), graph, links)
+        same, n = recall(distinct, classes)
+        if same >= RECALL * n:
             break
     counted = enlarged(distinct, classes)
     named = distinct.join(classes, F.col("id") == F.col("v"), "left").join(counted, "id", "left").select(

@@ -133,6 +133,29 @@ def test_near_vectors(spark, rows):
     assert nn_descent.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_dense_versions_meet(spark, rows):
+    # ten tight versions of one text: every list of 12 is full of its own version
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=32)
+    versions = base + rng.normal(size=(10, 32)) * 0.2 * np.linalg.norm(base) / 32 ** 0.5
+    x = np.repeat(versions, 40, 0) + rng.normal(size=(400, 32)) * 0.02
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.9
+    found = {r["vec_id"]: r for r in rows(nn_descent.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")))}
+    assert {r["component_id"] for r in found.values()} == {0}
+    assert [found[i]["n_links"] for i in range(400)] == (links.sum(1) - 1).tolist()
+
+
+def test_blocks_give_every_link_to_the_classes():
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(4, 16)), 30, 0) + rng.normal(size=(120, 16)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = np.arange(120)
+    edges = nn_descent._best(ids, x, 0.5, ids)
+    assert edges["link"].sum() == 116 and (edges["cos"][edges["link"]] >= 0.9).all()
+    assert (edges["away"] == (edges["u"] // 30 != edges["w"] // 30)).all()
+
+
 def test_packing(docs, none, rows):
     path = tokenizer_path("word_bpe_49k.json")
     found = rows(packing.packed(docs, with_ids=True))
