@@ -10,8 +10,8 @@
    spanning forest of its links, which joins the same vectors and has no more rows than the block.
 5. Dense classes: a list full of its own class says nothing of others, so a list has ``K`` more places for vectors outside
    the class. Classes of more than ``K`` members are sorted again by samples, and the descent goes on, until none meet.
-6. Audit: a fixed number of vectors is compared with all others. If less than ``RECALL`` of their links are in classes, more
-   tables are sorted and the descent goes on.
+6. Audit: a fixed number of vectors is compared with all others. Vectors with up to ``K`` links and those with more are judged
+   apart: if less than ``RECALL`` of either have all their links in their class, more tables are sorted and the descent goes on.
 7. Enlargement: the lists of a class are enlarged to the class: its members are compared in blocks and counted; no pair
    leaves a task.
 """
@@ -28,7 +28,7 @@ from flowsieve.session import written
 
 LINK, EXPLORE, K = 0.9, 0.5, 12
 TABLES, BITS, BLOCK, SPREAD, TILE = 8, 24, 96, 64, 128
-RECALL, AUDITED, ROUNDS, CHANGED = 0.99, 512, 6, 0.01
+RECALL, AUDITED, ROUNDS, CHANGED = 0.99, 2048, 6, 0.01
 MOST_TABLES = 8 * TABLES
 
 # away: not of one class, as far as the task knows; link: an edge of the task's spanning forest and no entry of a list
@@ -225,33 +225,41 @@ def met(distinct: DataFrame, classes: DataFrame, graph: DataFrame, links: DataFr
             return classes, links
 
 
-def _audit(queries: list, matrix: np.ndarray):
-    ids = np.array(queries, np.int64)
+_AUDIT = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("same", pa.int64())])
+
+
+def _audit(queries: list, comps: list, matrix: np.ndarray):
+    ids, own_comps = np.array(queries, np.int64), np.array(comps, np.int64)
 
     def run(batches):
         for batch in batches:
             sizes = np.diff(batch.column("x").offsets.to_numpy())
             part = batch.take(pa.array(np.flatnonzero(sizes == matrix.shape[1])))
             if part.num_rows:
-                own = part.column("id").to_numpy()
-                q, r = np.nonzero(matrix @ _matrix(part.column("x")).T >= LINK)
-                other = ids[q] != own[r]
-                yield pa.RecordBatch.from_pydict({"q": ids[q[other]], "w": own[r[other]]}, schema=pa.schema([("q", pa.int64()), ("w", pa.int64())]))
+                linked = matrix @ _matrix(part.column("x")).T >= LINK
+                linked &= ids[:, None] != part.column("id").to_numpy()
+                n, same = linked.sum(1), (linked & (own_comps[:, None] == part.column("comp").to_numpy())).sum(1)
+                some = n > 0
+                yield pa.RecordBatch.from_pydict({"q": ids[some], "n": n[some], "same": same[some]}, schema=_AUDIT)
     return run
 
 
-def recall(distinct: DataFrame, classes: DataFrame) -> tuple[int, int]:
-    """Links of ``AUDITED`` vectors, found by comparing each with all, and how many of them lie in one class."""
-    chosen = distinct.select("id", "x", F.size("x").alias("d")).orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(AUDITED).collect()
-    found = total = 0
-    for d in sorted({r["d"] for r in chosen}):
-        rows = [r for r in chosen if r["d"] == d]
-        links = distinct.select("id", "x").mapInArrow(_audit([r["id"] for r in rows], np.array([r["x"] for r in rows])), "q bigint, w bigint")
-        mine = classes.select(F.col("v").alias("q"), F.col("comp").alias("a")).where(F.col("q").isin([r["id"] for r in rows]))
-        theirs = classes.select(F.col("v").alias("w"), F.col("comp").alias("b"))
-        n = links.join(mine, "q", "left").join(theirs, "w", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same")).first()
-        found, total = found + n["same"], total + n["n"]
-    return found, total
+def recall(distinct: DataFrame, classes: DataFrame) -> list[tuple[int, int]]:
+    """Of ``AUDITED`` vectors compared with all: how many have all their links in their class, and how many have links.
+
+    First of the vectors with up to ``K`` links, then of those with more: a large group cannot speak for small ones.
+    """
+    named = written(distinct.join(classes, F.col("id") == F.col("v"), "left").select("id", "x", F.coalesce("comp", "id").alias("comp")), "audited")
+    chosen = named.select("id", "x", "comp").orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(AUDITED).collect()
+    reached = [[0, 0], [0, 0]]
+    for d in sorted({len(r["x"]) for r in chosen}):
+        rows = [r for r in chosen if len(r["x"]) == d]
+        task = _audit([r["id"] for r in rows], [r["comp"] for r in rows], np.array([r["x"] for r in rows]))
+        links = named.mapInArrow(task, "q bigint, n bigint, same bigint").groupBy("q").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+        for r in links.collect():
+            reached[r["n"] > K][0] += r["same"] == r["n"]
+            reached[r["n"] > K][1] += 1
+    return [tuple(r) for r in reached]
 
 
 _COUNTS = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
@@ -293,7 +301,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     Linked are vectors of equal dimension with a cosine of 0.9 or more in double precision. A vector that is null, empty, zero
     or holds a null or non-finite component has no link and is its own component; so is a row without an id, whose component is
     null and which is kept. Copies are linked with each other; rows that repeat an id are copies with one name. Other columns
-    are ignored. An empty table gives an empty result.
+    are ignored. An empty table gives an empty result. If the audit is not passed after ``MOST_TABLES`` tables, an error says
+    how far it came.
     """
     every = written(vectors(rows, id_col, vector_col), "vectors")
     distinct = every.where("x is not null").groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
@@ -306,9 +315,11 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         lists = _lists(found) if graph is None else graph.union(_lists(found))
         graph, links = descended(single, written(_top(lists), "graph"), links)
         classes, links = met(distinct, components(links), graph, links)
-        same, n = recall(distinct, classes)
-        if same >= RECALL * n:
+        reached = recall(distinct, classes)
+        if all(whole >= RECALL * n for whole, n in reached):
             break
+    else:
+        raise RuntimeError(f"after {MOST_TABLES} tables the audited vectors whose links are all found are {reached[0]} with up to {K} links and {reached[1]} with more (found, of)")
     counted = enlarged(distinct, classes)
     named = distinct.join(classes, F.col("id") == F.col("v"), "left").join(counted, "id", "left").select(
         F.col("x").alias("_x"), F.coalesce("comp", "id").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"))

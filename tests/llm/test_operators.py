@@ -156,6 +156,23 @@ def test_blocks_give_every_link_to_the_classes():
     assert (edges["away"] == (edges["u"] // 30 != edges["w"] // 30)).all()
 
 
+def test_audit_judges_small_groups_apart(spark):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 32)), 200, 0) + rng.normal(size=(200, 32)) * 0.01, np.repeat(rng.normal(size=(5, 32)), 2, 0) + rng.normal(size=(10, 32)) * 0.01])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    distinct = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>")
+    # the large group is one class and no pair is found: 39,800 of 39,810 link ends
+    classes = spark.createDataFrame([(i, 0) for i in range(200)], "v bigint, comp bigint")
+    assert nn_descent.recall(distinct, classes) == [(0, 10), (200, 200)]
+
+
+def test_missed_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "recall", lambda *_: [(1, 2), (3, 3)])
+    monkeypatch.setattr(nn_descent, "MOST_TABLES", nn_descent.TABLES)
+    with pytest.raises(RuntimeError, match="1, 2"):
+        nn_descent.near_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id bigint, embedding array<double>")).count()
+
+
 def test_packing(docs, none, rows):
     path = tokenizer_path("word_bpe_49k.json")
     found = rows(packing.packed(docs, with_ids=True))
