@@ -2,7 +2,8 @@
 
 Both public vocabularies split a text before every run of white space, and behind a letter that an ASCII mark or digit
 follows, before they merge. So the ids of a text are those of its segments one after another. A worker remembers segments
-up to a bound and asks the library only for the others. The tests compare this with encoding whole texts.
+up to a bound and asks the library only for the others. The library takes a vocabulary's added tokens (<|endoftext|>) out of a
+text before all else, so each is a segment of its own. The tests compare this with encoding whole texts.
 """
 
 from __future__ import annotations
@@ -34,12 +35,20 @@ class Encoder:
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # the longest of those that begin at one place is taken
+        self.added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.apart = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         # the library's module outlives the task, so the worker's next task starts with what this one has met
         self.known: dict[str, bytes] = vars(tokenizers).setdefault("_met_segments", {}).setdefault(path, {})
 
+    def segments(self, text: str) -> list[str]:
+        if not any(a in text for a in self.added):
+            return SEGMENT.findall(text)
+        # every second part is an added token
+        return [s for k, part in enumerate(self.apart.split(text)) for s in ([part] if k % 2 else SEGMENT.findall(part))]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known, cut = self.known, [SEGMENT.findall(t) for t in texts]
+        known, cut = self.known, [self.segments(t) for t in texts]
         new = list(set().union(*cut).difference(known))
         ids = self.library.encode_batch_fast(new, add_special_tokens=False)
         before = len(known)

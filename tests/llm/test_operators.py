@@ -43,6 +43,17 @@ def test_segments_encode_like_whole_texts():
             assert np.frombuffer(ids, "<u4").tolist() == encode.library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_keep_their_ids(name):
+    import tokenizers
+
+    untouched, encode = tokenizers.Tokenizer.from_file(tokenizer_path(name)), Encoder(tokenizer_path(name))
+    rng = random.Random(14)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|endoftext|", "|>", "a", "It's", " ", "\n", "e\u0301", "\u0301", "12", "!"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(500))]
+    assert [np.frombuffer(i, "<u4").tolist() for i in encode(texts)] == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pieces_are_the_librarys(docs, none, spark):
     import sentencepiece
 
