@@ -30,6 +30,8 @@ CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]),
     "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]),
 }
+# what a head may hold: anything else ends it, closed or not
+HEAD = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
 _HOLDS = frozenset("ul ol dl table div section article".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -50,7 +52,19 @@ class _Blocks(HTMLParser):
             self.found.append((tuple(self.open), text, self.linked))
         self.parts, self.linked = [], 0
 
+    def _end_head(self, wherever: bool) -> None:
+        """Close a head that is left open; inside one of its elements only a body does."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == "head":
+                self.flush()
+                self._close(k)
+                break
+            if not wherever:
+                break
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self._end_head(tag == "body")
         if tag in INLINE:
             self.links += tag == "a"
             if tag == "br":
@@ -66,7 +80,7 @@ class _Blocks(HTMLParser):
                 break
             if name in _HOLDS:
                 break
-        names = tuple(t.lower() for key, value in attrs if key in ("class", "id", "role", "itemprop", "aria-label") and value for t in _TOKEN.findall(value)[:12])
+        names = tuple(t.lower() for key, value in attrs if key in ("class", "id", "role", "itemprop", "aria-label") and value for t in _TOKEN.findall(value))
         self.open.append((tag, names + tuple("data-main" for key, _ in attrs if key == "data-main")))
         self.silent += tag in SILENT
 
@@ -89,6 +103,8 @@ class _Blocks(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_data(self, data):
+        if self.silent and data.strip():
+            self._end_head(False)
         if not self.silent:
             self.parts.append(data)
             if self.links:

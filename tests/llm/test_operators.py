@@ -253,6 +253,25 @@ def test_pages(spark, rows):
     assert html_extract.extracted(frame.limit(0)).count() == 0
 
 
+def test_pages_with_an_open_head():
+    def read(page):
+        return [(p[-1][0], t) for p, t, _ in html_extract.blocks(page)]
+    body = [("h1", "A"), ("p", "One two.")]
+    assert read("<html><head><title>t</title><body><h1>A</h1><p>One two.</p></body></html>") == body
+    assert read("<html><head><title>t</title><style>x</style><h1>A</h1><p>One two.</p></html>") == body
+    assert read("<html><head><noscript><img src=x><p>no</p></noscript><body><h1>A</h1><p>One two.") == body
+    assert read("<html><head><meta name=x> One <b>two</b>.</html>") == [("html", "One two.")]
+    assert read("<html><head><title>t</title></head><body><h1>A</h1><p>One two.</p></body></html>") == body
+    page = "<html><head><title>t</title><body><article><h1>A title</h1><p>One two three, and more of it. Four five.</article>"
+    assert html_extract.Extractor(html_extract.fitted())(page) == "A title\nOne two three, and more of it. Four five."
+
+
+def test_all_name_tokens_count():
+    classes = " ".join(f"col{k}" for k in range(20))
+    (path, _, _), = html_extract.blocks(f'<div class="{classes} sidebar">x</div>')
+    assert path[-1][1][-1] == "sidebar"
+
+
 def test_near_documents(docs, none, spark, rows):
     rng = random.Random(9)
     texts = []
