@@ -132,3 +132,17 @@ def test_alert_batches_are_replaced_on_retry(spark):
         sink(df, 0)
     sink(df, 1)
     assert spark.read.parquet(f"{sink.path}/rows").count() == 4
+
+
+@pytest.mark.parametrize("name, trees", [("i4_batch_scores", {240}), ("i8_fold_predictions", {240, 120}), ("i9_model_registry", {240})])
+def test_registered_fits_grow_all_trees(spark, monkeypatch, name, trees):
+    from flowsieve.plans.model_queries import QUERIES
+
+    asked, fit = set(), models.fit_forest
+
+    def small(train, features, trees=None, **settings):
+        asked.add(trees or models.FOREST["numTrees"])
+        return fit(train, features, 2, **settings)
+    monkeypatch.setattr(models, "fit_forest", small)
+    QUERIES[name](spark, SMALL)
+    assert asked == trees
