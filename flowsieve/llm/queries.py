@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowsieve.llm.chat import CLOSE, OPEN, collapsed
 from flowsieve.llm.common import table
 from flowsieve.llm.exact_dedup import exact_duplicates
+from flowsieve.llm.hilbert_shards import BITS, DIMENSIONS, SHARDS, curve_steps, digest, sharded
 from flowsieve.llm.html_extract import extracted
 from flowsieve.llm.language import identified
 from flowsieve.llm.line_dedup import ENDS, without_repeated_passages
@@ -92,3 +93,28 @@ def html_extract(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identified(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def _shard_sql() -> str:
+    """Cells by rank, the curve as nested projections, checksums by half bytes (DuckDB has no crc32)."""
+    nibbles = []
+    for n in range(16):
+        for _ in range(4):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        nibbles.append(n)
+    cells = ", ".join(f"(rank() OVER (ORDER BY {d} NULLS FIRST) - 1) * {1 << BITS} // count(*) OVER () AS x{i}" for i, d in enumerate(DIMENSIONS))
+    curve = f"SELECT *, 0 AS curve, {cells} FROM own"
+    for step in curve_steps(len(DIMENSIONS), BITS, lambda a, b: f"xor({a}, {b})"):
+        curve = f"SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in step.items())}) FROM ({curve})"
+    order = ", ".join(["curve", *(f"{d} NULLS FIRST" for d in DIMENSIONS), "digest", "doc_id NULLS FIRST"])
+    return f"""WITH own AS (SELECT doc_id, lang, source, strlen(coalesce(text, '')) + 8 AS size, md5(coalesce(text, '')) AS digest, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
+      ranked AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS r, count(*) OVER () // {SHARDS} AS q, count(*) OVER () % {SHARDS} AS m FROM ({curve})),
+      halves AS (SELECT *, list_prepend(4294967295, flatten(list_transform(range(1, len(h), 2), lambda i: [instr('0123456789ABCDEF', h[i + 1]) - 1, instr('0123456789ABCDEF', h[i]) - 1]))) AS s FROM ranked)
+      SELECT doc_id, size, xor(list_reduce(s, lambda a, b: xor(a >> 4, {nibbles}[(xor(a, b) & 15) + 1])), 4294967295) AS text_crc32, 'rows' AS law,
+        CAST(CASE WHEN r < m * (q + 1) THEN r // (q + 1) ELSE m + (r - m * (q + 1)) // greatest(q, 1) END AS INTEGER) AS shard,
+        CASE WHEN r < m * (q + 1) THEN r % (q + 1) ELSE (r - m * (q + 1)) % greatest(q, 1) END AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM halves"""
+
+
+@_query("op11_hilbert_shards", _shard_sql())
+def hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return digest(sharded(table(spark, folder, "documents")))
