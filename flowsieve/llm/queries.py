@@ -16,6 +16,7 @@ from flowsieve.llm.nn_descent import near_vectors
 from flowsieve.llm.packing import packed
 from flowsieve.llm.pieces import encoded
 from flowsieve.llm.token_files import read_tokens, write_tokens
+from flowsieve.llm.whitening import whitened
 from flowsieve.session import scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -118,3 +119,8 @@ def _shard_sql() -> str:
 @_query("op11_hilbert_shards", _shard_sql())
 def hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return digest(sharded(table(spark, folder, "documents")))
+
+
+@_query("op12_whitening")
+def whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitened(table(spark, folder, "embeddings"))
