@@ -14,6 +14,7 @@ from flowsieve.llm.line_dedup import ENDS, without_repeated_passages
 from flowsieve.llm.minhash import near_duplicates
 from flowsieve.llm.nn_descent import near_vectors
 from flowsieve.llm.packing import packed
+from flowsieve.llm.phrases import LEAST, SHARE, TOP, collocations
 from flowsieve.llm.pieces import encoded
 from flowsieve.llm.token_files import read_tokens, write_tokens
 from flowsieve.llm.whitening import whitened
@@ -124,3 +125,20 @@ def hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op12_whitening")
 def whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitened(table(spark, folder, "embeddings"))
+
+
+@_query("op13_phrases", f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+      lists AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+      total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
+      grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS p FROM lists, (VALUES (1), (2), (3)) AS v(m)),
+      f AS (SELECT lang, m, p, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {LEAST}),
+      cuts AS (SELECT lang, p, f AS a, k, p[1:k] AS p1, p[k + 1:m] AS p2 FROM f, (VALUES (1), (2)) AS v(k) WHERE k < m),
+      parts AS (SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS score
+        FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = p1 JOIN f y ON y.lang = c.lang AND y.p = p2),
+      lowest AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+      covered AS (SELECT lang, p[j:j + 1] AS p, max(f) AS f FROM f, (VALUES (1), (2)) AS v(j) WHERE m = 3 GROUP BY ALL),
+      stay AS (SELECT x.*, array_to_string(x.p, ' ') AS phrase FROM lowest x LEFT JOIN covered y ON y.lang = x.lang AND y.p = x.p WHERE len(x.p) = 3 OR y.f IS NULL OR 100 * y.f < {SHARE} * a)
+      SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+      FROM stay JOIN total USING (lang) QUALIFY rank <= {TOP}""")
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
