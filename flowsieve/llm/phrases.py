@@ -24,7 +24,7 @@ from flowsieve.llm.transducer import Phrases, Transducer, packed, unpacked
 from flowsieve.session import written
 
 #: Bytes of text in a shard; phrases of all shards in a range that one task may unite; bits of the first cut and of each further one.
-SHARD_BYTES, TARGET, FIRST_BITS, MORE_BITS = 16_000_000, 4_000_000, 6, 4
+SHARD_BYTES, TARGET, FIRST_BITS, MORE_BITS = 8_000_000, 4_000_000, 6, 4
 #: Least count of a candidate; a longer candidate with this share of its count covers it; rows given out for a language.
 LEAST, SHARE, TOP = 10, 50, 2000
 # fixed values: what ends a piece, and the blanks between words
@@ -48,14 +48,20 @@ def words_of(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
 def shard_phrases(texts: list[bytes]) -> tuple[int, Phrases]:
     """Number of words, and the counted phrases of one to three words within pieces."""
     words, piece = words_of(texts)
-    n, ids = len(words), words.indices.to_numpy().astype(np.int64)
-    found = []
-    for m in (1, 2, 3):
-        at = np.flatnonzero(piece[:n - m + 1] == piece[m - 1:]) if n >= m else np.zeros(0, np.int64)
-        none = np.full(len(at), -1)
-        found.append(Phrases.summed(words.dictionary, [ids[at + k] if k < m else none for k in range(3)]))
-    both = [np.concatenate(c) for c in zip(*(p.columns for p in found))]
-    return n, Phrases.summed(words.dictionary, both, np.concatenate([p.counts for p in found]))
+    n, ids = len(words), words.indices.to_numpy()
+    places = [np.flatnonzero(piece[:n - m + 1] == piece[m - 1:]) if n >= m else np.zeros(0, np.int64) for m in (1, 2, 3)]
+    del piece
+    columns = []
+    for k in range(3):
+        # a phrase of m words fills the first m columns
+        columns.append(np.full(sum(map(len, places)), -1, np.int32))
+        start = 0
+        for m, at in enumerate(places, 1):
+            if k < m:
+                columns[k][start:start + len(at)] = ids[at + k]
+            start += len(at)
+    del places, ids
+    return n, Phrases.summed(words.dictionary, columns)
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:

@@ -41,7 +41,10 @@ class Phrases:
         if 3 * bits <= 63:
             key = np.zeros(len(columns[0]), np.int64)
             for c in columns:
-                key = (key << bits) | (c + 1)
+                # in place: this is the largest array of a shard
+                key <<= bits
+                key += c
+                key += 1
             if counts is None:
                 key.sort()
                 order = None
@@ -208,11 +211,11 @@ class Transducer:
     def to_bytes(self) -> bytes:
         data, ends = self.words.buffers()[2], np.frombuffer(self.words.buffers()[1], np.int64)[self.words.offset:self.words.offset + len(self.words) + 1]
         letters = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if len(self.words) else b""
-        arrays = [np.diff(ends), *(a for level in self.levels for a in level)]
-        kinds = ["<u4" if not len(a) or a.max() < 1 << 32 else "<u8" for a in ((a + (k % 4 == 0 and k > 0)) for k, a in enumerate(arrays))]
-        # next states are stored one up, so that none is negative
-        parts = [(a + 1 if k and k % 4 == 0 else a).astype(kind).tobytes() for (k, a), kind in zip(enumerate(arrays), kinds)]
-        head = np.array([len(arrays), len(letters), *(len(a) for a in arrays), *(int(kind[2]) for kind in kinds)], "<u8").tobytes()
+        # next states are stored one up, so that none is negative; each array in the least whole bytes, bytes of one weight together
+        arrays = [np.diff(ends), *(a + (k == 3) for level in self.levels for k, a in enumerate(level))]
+        widths = [next(w for w in (1, 2, 4, 8) if w == 8 or not len(a) or a.max() < 1 << 8 * w) for a in arrays]
+        parts = [a.astype(f"<u{w}").view(np.uint8).reshape(-1, w).T.tobytes() for a, w in zip(arrays, widths)]
+        head = np.array([len(arrays), len(letters), *(len(a) for a in arrays), *widths], "<u8").tobytes()
         body = b"".join([head, letters, *parts])
         return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
@@ -224,7 +227,8 @@ class Transducer:
         at = 16 + 16 * n
         text, at, arrays = body[at:at + letters], at + letters, []
         for size, width in zip(sizes, widths):
-            arrays.append(np.frombuffer(body, f"<u{width}", size, at).astype(np.int64))
+            planes = np.frombuffer(body, np.uint8, size * width, at).reshape(width, size)
+            arrays.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
             at += size * width
         ends = np.append(0, np.cumsum(arrays[0]))
         words = pa.Array.from_buffers(pa.large_binary(), len(arrays[0]), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(text)])
