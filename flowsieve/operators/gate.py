@@ -221,14 +221,37 @@ def choose_policy(table: DataFrame, max_benign_rate: float) -> DataFrame:
     return table.withColumn("selected", (F.col("threshold") == best["threshold"]) & (F.col("persistence") == best["persistence"]))
 
 
+def require_order(train: DataFrame, validation: DataFrame, order: str = "run_id") -> None:
+    """All development comes before all validation in the order of the runs; two single values reach the driver."""
+    last, first = train.agg(F.max(order).alias("m")).first()["m"], validation.agg(F.min(order).alias("m")).first()["m"]
+    if last is not None and first is not None and last >= first:
+        raise ValueError(f"development up to {last} does not come before validation from {first}")
+
+
+def require_detector(train: DataFrame, validation: DataFrame, column: str = "detector_hash") -> str:
+    """The one detector whose predictions both sides hold; several, or a row without one, are an error."""
+    hashes = train.select(column).unionByName(validation.select(column)).agg(
+        F.min(column).alias("lo"), F.max(column).alias("hi"), F.count_if(F.col(column).isNull()).alias("none")).first()
+    if hashes["lo"] is None or hashes["lo"] != hashes["hi"] or hashes["none"]:
+        raise ValueError(f"predictions of different detectors: {hashes['lo']}, {hashes['hi']}, {hashes['none']} rows without one")
+    return hashes["lo"]
+
+
 def fit_policy(
     train: DataFrame, train_truth: DataFrame, windows: DataFrame, observations: DataFrame, truth: DataFrame,
     multipliers: Sequence[float], persistences: Sequence[int], max_benign_rate: float, ttl: int = 15,
+    detectors: tuple[DataFrame, DataFrame] | None = None,
 ) -> tuple[GatePolicy, DataFrame]:
     """Envelope from development rows, grid entry from validation rows; abstains if none is feasible.
 
-    A source without truth, or validation rows without benign traffic, are errors.
+    Errors: a run on both sides, validation that does not come after development, a source without truth, and validation
+    rows without benign traffic; with ``detectors``, the windows of development and of validation with their ``detector_hash``, also
+    predictions of different detectors.
     """
+    require_separate_runs(train, observations)
+    require_order(train, observations)
+    if detectors is not None:
+        require_detector(*detectors)
     require_truth(train, train_truth)
     require_truth(observations, truth)
     grid = candidate_grid(benign_envelope(train, train_truth), multipliers, persistences)
@@ -274,11 +297,28 @@ def dominant_source(observations: DataFrame) -> DataFrame:
     return observations.join(best, [*RUN, "packets"]).groupBy(*RUN).agg(F.min("source_ip").alias("dominant_source"))
 
 
-def enforcement_evidence(decisions: DataFrame, records: DataFrame) -> DataFrame:
-    """Decision of a window next to the rule observed for the following one."""
-    applied = records.select(
-        "run_id", (F.col("applies_to_window") - 1).alias("window_index"),
-        F.regexp_extract("flow", r"nw_src=([0-9.]+),", 1).alias("_source"), F.regexp_extract("flow", r"hard_timeout=(\d+)", 1).try_cast("int").alias("_ttl"))
-    return decisions.join(applied, RUN, "left").select(
-        *RUN, "target_source", F.coalesce(F.col("_source") == F.col("target_source"), F.lit(False)).alias("source_matches"),
-        F.coalesce(F.col("_ttl") == F.col("rule_ttl_seconds"), F.lit(False)).alias("lifetime_matches"))
+#: The mark of the gate's own rules in a flow dump.
+COOKIE = "cookie=0x475402"
+
+
+def enforcement_evidence(decisions: DataFrame, flows: DataFrame) -> DataFrame:
+    """Every decision next to the rules seen for the following window, with ``evidence``: ``ok`` or the first thing that is wrong.
+
+    ``flows`` has a row per dumped line (run_id, applies_to_window, flow); lines without the gate's cookie are other rules. A limit
+    needs one rule of its own that names its source, meters and then forwards, and ends after the decided lifetime; a
+    decision of NONE, or a window that nothing was decided for, needs none. A null line is no rule.
+    """
+    line = F.col("flow")
+    own = flows.filter(line.contains(COOKIE)).select(
+        "run_id", (F.col("applies_to_window") - 1).alias("window_index"), F.regexp_extract(line, r"nw_src=([0-9.]+),", 1).alias("source"),
+        line.contains("actions=meter:1,NORMAL").alias("metered"), F.regexp_extract(line, r"hard_timeout=(\d+)", 1).try_cast("int").alias("ttl"))
+    # one row a window however many rules it has; a second rule is counted, not joined
+    seen = own.groupBy(*RUN).agg(F.count(F.lit(1)).alias("rules"), F.min(F.struct("source", "metered", "ttl")).alias("_rule"))
+    both = decisions.select(*RUN, "action", "target_source", "rule_ttl_seconds").join(seen, RUN, "full").withColumn(
+        "rules", F.coalesce("rules", F.lit(0).cast("bigint")))
+    limits, rule = F.coalesce(F.col("action") == "RATE_LIMIT", F.lit(False)), F.col("_rule")
+    evidence = (
+        F.when(~limits & (F.col("rules") > 0), "rule_without_decision").when(~limits, "ok").when(F.col("rules") == 0, "rule_missing")
+        .when(F.col("rules") > 1, "rule_repeated").when(~rule["source"].eqNullSafe(F.col("target_source")), "wrong_source")
+        .when(~rule["metered"], "not_metered").when(~rule["ttl"].eqNullSafe(F.col("rule_ttl_seconds")), "wrong_lifetime").otherwise("ok"))
+    return both.select(*RUN, "action", "target_source", "rules", evidence.alias("evidence"))

@@ -198,10 +198,10 @@ _FIT = {
 def source_envelope_fit(spark, folder):
     observed, roles = tables.observations(spark, folder), tables.truth(spark, folder)
     early = F.dayofmonth(F.to_date("run_id")) <= 20
-    gate.require_separate_runs(observed.filter(early), observed.filter(~early))
+    made = tables.gate_windows(spark, folder).withColumn("detector_hash", F.lit("sum of labels above 2"))
     _, table = gate.fit_policy(
-        observed.filter(early), roles, tables.gate_windows(spark, folder).filter(~early), observed.filter(~early), roles,
-        _MULTIPLIERS, _PERSISTENCE, 0.2)
+        observed.filter(early), roles, made.filter(~early), observed.filter(~early), roles,
+        _MULTIPLIERS, _PERSISTENCE, 0.2, detectors=(made.filter(early), made.filter(~early)))
     return rounded(table)
 
 

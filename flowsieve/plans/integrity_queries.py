@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.operators import gate, integrity, metrics, windows
+from flowsieve.operators import gate, integrity, metrics, replay, windows
 from flowsieve.plans import tables
 from flowsieve.plans.decision_queries import _GATE, _threshold
 from flowsieve.plans.metric_queries import COUNTS_SQL, RATIO_SQL
@@ -216,23 +216,104 @@ def reconciliation(spark, folder):
     return integrity.reconciliation(per_file, merged, ["dataset_id"], ["raw_rows"], ["pkt_sum", "byte_rate"])
 
 
-@R.add("l10_decision_replay", oracle("""SELECT run_id, window_index, CASE WHEN window_index % 2 = 0 THEN 'NONE' ELSE action END AS saved_action, action, safety_reason FROM sel
-      WHERE window_index % 2 = 0 AND action <> 'NONE'""", **_GATE))
+# windows with a score from their features, and what a trial saved of their decisions: some rows forged, one way each
+_ALARMS = ["alarms", "byte_sum", "events", "pkt_sum"]
+_POLICY_TEXT = """'{"byte_rate_threshold":' || CAST(t AS VARCHAR) || ',"consecutive_windows":2,"rule_ttl_seconds":15,"version":"source_rate_envelope_v3"}'"""
+_OBS_DIGEST = "sha256(" + " || ".join(f"length({c}) || ':' || {c}" for c in ("source_ip", "CAST(packets AS VARCHAR)", "CAST(bytes AS VARCHAR)", "CAST(duration_seconds AS VARCHAR)")) + ")"
+_FORGED = ["score", "threshold", "prediction", "action", "target", "reason", "features", "observations", "policy"]
+_REPLAY = {
+    **_GATE,
+    "wl": """SELECT run_id, window_index, CAST(sum(label) AS DOUBLE) AS alarms, CAST(sum(byte_count) AS DOUBLE) AS byte_sum, CAST(count(*) AS DOUBLE) AS events, CAST(sum(packet_count) AS DOUBLE) AS pkt_sum
+      FROM ev GROUP BY ALL""",
+    "oh": f"SELECT run_id, window_index, count(*) || ':' || {_SUMS} AS oh FROM (SELECT run_id, window_index, {_OBS_DIGEST} AS d FROM ob) GROUP BY ALL",
+    "rp": f"""SELECT sel.*, least(alarms / 6, 1.0::DOUBLE) AS probability, 0.5::DOUBLE AS threshold, oh, sha256({_POLICY_TEXT}) AS ph,
+      sha256('{{"alarms":' || CAST(alarms AS VARCHAR) || ',"byte_sum":' || CAST(byte_sum AS VARCHAR) || ',"events":' || CAST(events AS VARCHAR) || ',"pkt_sum":' || CAST(pkt_sum AS VARCHAR) || '}}') AS fh,
+      (CAST(right(sel.run_id, 2) AS INTEGER) * 8 + sel.window_index) % 16 AS z FROM sel JOIN wl USING (run_id, window_index) JOIN oh USING (run_id, window_index), th""",
+    "sv": """SELECT run_id, window_index, z, CASE WHEN z = 0 THEN probability + 0.125::DOUBLE ELSE probability END AS probability, CASE WHEN z = 1 THEN 0.25::DOUBLE ELSE threshold END AS threshold,
+      CASE WHEN z = 2 THEN 1 - prediction ELSE prediction END AS prediction, CASE WHEN z IN (3, 4) THEN CASE WHEN action = 'NONE' THEN 'RATE_LIMIT' ELSE 'NONE' END ELSE action END AS action,
+      CASE WHEN z = 5 THEN '10.0.0.99' ELSE target_source END AS target_source, CASE WHEN z = 6 THEN 'policy_abstains' ELSE safety_reason END AS safety_reason,
+      CASE WHEN z = 7 THEN upper(fh) ELSE fh END AS fh, CASE WHEN z = 8 THEN '0:' || oh ELSE oh END AS oh, CASE WHEN z = 9 THEN '' ELSE ph END AS ph FROM rp WHERE z <> 10
+      UNION ALL SELECT run_id, 90, z, probability, threshold, prediction, action, target_source, safety_reason, fh, oh, ph FROM rp WHERE z = 11
+      UNION ALL SELECT run_id, window_index, z, probability, threshold, prediction, action, target_source, safety_reason, fh, oh, ph FROM rp WHERE z = 12""",
+    "sn": "SELECT run_id, window_index, count(*) AS n, min(action) AS saved_action, any_value(COLUMNS(['probability', 'threshold', 'prediction', 'target_source', 'safety_reason', 'fh', 'oh', 'ph'])) FROM sv GROUP BY run_id, window_index",
+}
+
+
+def _decided(spark, folder):
+    """Features, observations, policy and the replay of all windows."""
+    observed, e = tables.observations(spark, folder), tables.events(spark, folder)
+    policy = gate.GatePolicy(_threshold(observed), 2)
+    w = e.groupBy("run_id", F.floor(F.hour("event_ts") / 3).cast("int").alias("window_index")).agg(
+        F.sum("label").cast("double").alias("alarms"), F.sum("byte_count").cast("double").alias("byte_sum"), F.count(F.lit(1)).cast("double").alias("events"),
+        F.sum("packet_count").cast("double").alias("pkt_sum"))
+    return written(replay.replayed(w, observed, policy, F.least(F.col("alarms") / 6, F.lit(1.0)), 0.5, _ALARMS), "replay")
+
+
+def _place16():
+    return (F.substring("run_id", -2, 2).cast("int") * 8 + F.col("window_index")) % 16
+
+
+def _saved(made):
+    """What a trial would have saved, with one forgery a row in most rows of each sixteen."""
+    z, other = F.col("_z"), F.when(F.col("action") == "NONE", "RATE_LIMIT").otherwise("NONE")
+    forged = made.withColumn("_z", _place16()).withColumns({
+        "probability": F.when(z == 0, F.col("probability") + 0.125).otherwise(F.col("probability")), "threshold": F.when(z == 1, F.lit(0.25)).otherwise(F.col("threshold")),
+        "prediction": F.when(z == 2, 1 - F.col("prediction")).otherwise(F.col("prediction")), "action": F.when(z.isin(3, 4), other).otherwise(F.col("action")),
+        "target_source": F.when(z == 5, F.lit("10.0.0.99")).otherwise(F.col("target_source")), "safety_reason": F.when(z == 6, F.lit("policy_abstains")).otherwise(F.col("safety_reason")),
+        "input_feature_hash": F.when(z == 7, F.upper("input_feature_hash")).otherwise(F.col("input_feature_hash")),
+        "source_observations_hash": F.when(z == 8, F.concat(F.lit("0:"), "source_observations_hash")).otherwise(F.col("source_observations_hash")),
+        "source_policy_hash": F.when(z == 9, F.lit("")).otherwise(F.col("source_policy_hash"))})
+    whole = forged.filter(z != 10)
+    return whole.unionByName(whole.filter(z == 11).withColumn("window_index", F.lit(90))).unionByName(whole.filter(z == 12))
+
+
+_CAUSE_SQL = """CASE WHEN sn.n IS NULL THEN 'missing' WHEN rp.run_id IS NULL THEN 'extra' WHEN sn.n > 1 THEN 'repeated' WHEN sn.probability IS DISTINCT FROM rp.probability THEN 'score'
+      WHEN sn.threshold IS DISTINCT FROM rp.threshold THEN 'threshold' WHEN sn.prediction IS DISTINCT FROM rp.prediction THEN 'prediction' WHEN sn.saved_action IS DISTINCT FROM rp.action THEN 'action'
+      WHEN sn.target_source IS DISTINCT FROM rp.target_source THEN 'target' WHEN sn.safety_reason IS DISTINCT FROM rp.safety_reason THEN 'reason' WHEN sn.fh IS DISTINCT FROM rp.fh THEN 'features'
+      WHEN sn.oh IS DISTINCT FROM rp.oh THEN 'observations' WHEN sn.ph IS DISTINCT FROM rp.ph THEN 'policy' END"""
+
+
+@R.add("l10_decision_replay", oracle(f"""SELECT coalesce(rp.run_id, sn.run_id) AS run_id, coalesce(rp.window_index, sn.window_index) AS window_index, saved_action, action, rp.safety_reason AS safety_reason, {_CAUSE_SQL} AS cause
+      FROM rp FULL JOIN sn ON sn.run_id = rp.run_id AND sn.window_index = rp.window_index""", **_REPLAY))
 def decision_replay(spark, folder):
-    observed, w = tables.observations(spark, folder), tables.gate_windows(spark, folder).drop("label")
-    replay = gate.select_sources(w, observed, gate.GatePolicy(_threshold(observed), 2))
-    saved = replay.select("run_id", "window_index", F.when(F.col("window_index") % 2 == 0, "NONE").otherwise(F.col("action")).alias("saved_action"))
-    return replay.join(saved, ["run_id", "window_index"]).filter(~F.col("action").eqNullSafe(F.col("saved_action"))).select(
-        "run_id", "window_index", "saved_action", "action", "safety_reason")
+    made = _decided(spark, folder)
+    return replay.replay_report(_saved(made), made)
+
+
+@R.add("l10_audit_records", oracle("""SELECT run_id, window_index, field FROM (SELECT run_id, window_index, unnest(CASE
+      WHEN window_index >= 6 THEN CASE WHEN z IN (4, 5) THEN ['unexpected'] END WHEN z IN (10, 12) THEN ['record']
+      ELSE list_filter([CASE WHEN z IN (3, 4) THEN 'action' END, CASE WHEN z = 5 THEN 'target_source' END, CASE WHEN z = 7 THEN 'input_feature_hash' END], lambda f: f IS NOT NULL) END) AS field FROM rp)
+      UNION ALL SELECT run_id, 90, 'unexpected' FROM rp WHERE z = 11""", **_REPLAY))
+def audit_records(spark, folder):
+    # windows from the seventh on are not audited, yet some have a record
+    made = _decided(spark, folder)
+    kept = _saved(made).filter((F.col("window_index") < 6) | _place16().isin(4, 5) | (F.col("window_index") == 90))
+    return replay.audit_differences(made, kept, ["action", "target_source", "input_feature_hash"], F.col("window_index") < 6)
+
+
+# what a flow dump shows after each decision: wrong source, lifetime or action, a second rule, none, one left by a NONE
+_DUMPED = {
+    **_GATE,
+    "y": "SELECT *, (CAST(right(run_id, 2) AS INTEGER) + window_index) % 8 AS y FROM sel",
+    "vw": """SELECT *, CASE WHEN action = 'RATE_LIMIT' THEN CASE y WHEN 0 THEN 'wrong_source' WHEN 1 THEN 'wrong_lifetime' WHEN 2 THEN 'not_metered' WHEN 3 THEN 'rule_repeated' WHEN 4 THEN 'rule_missing' ELSE 'ok' END
+      ELSE CASE WHEN y = 5 THEN 'rule_without_decision' ELSE 'ok' END END AS evidence FROM y""",
+}
 
 
-@R.add("f11_enforcement_evidence", oracle("""SELECT run_id, window_index, target_source, true AS source_matches, CASE WHEN window_index % 2 = 0 THEN true ELSE false END AS lifetime_matches FROM sel WHERE action = 'RATE_LIMIT'""", **_GATE))
+@R.add("f11_enforcement_evidence", oracle("""SELECT run_id, window_index, action, target_source, CAST(CASE evidence WHEN 'rule_repeated' THEN 2 WHEN 'rule_missing' THEN 0 ELSE CASE WHEN action = 'NONE' AND evidence = 'ok' THEN 0 ELSE 1 END END AS BIGINT) AS rules, evidence FROM vw""", **_DUMPED))
 def enforcement_evidence(spark, folder):
     observed, w = tables.observations(spark, folder), tables.gate_windows(spark, folder).drop("label")
-    made = gate.select_sources(w, observed, gate.GatePolicy(_threshold(observed), 2)).filter("action = 'RATE_LIMIT'")
-    ttl = F.when(F.col("window_index") % 2 == 0, "15").otherwise("30")
-    flows = made.select("run_id", (F.col("window_index") + 1).alias("applies_to_window"), F.concat(
-        F.lit("cookie=0x475402, hard_timeout="), ttl, F.lit(",priority=300,ip,nw_src="), F.col("target_source"), F.lit(",nw_dst=10.253.0.3 actions=meter:1,NORMAL")).alias("flow"))
+    made = written(gate.select_sources(w, observed, gate.GatePolicy(_threshold(observed), 2)), "decisions")
+    y = (F.substring("run_id", -2, 2).cast("int") + F.col("window_index")) % 8
+    limits = F.col("action") == "RATE_LIMIT"
+    source = F.when(limits & (y != 0), F.col("target_source")).otherwise("10.0.0.77")
+    rule = F.concat(
+        F.lit(gate.COOKIE + ", hard_timeout="), F.when(limits & (y == 1), "30").otherwise("15"), F.lit(",priority=300,ip,nw_src="), source, F.lit(",nw_dst=10.253.0.3 actions="),
+        F.when(limits & (y == 2), "NORMAL").otherwise("meter:1,NORMAL"))
+    rules = F.when(limits & (y == 3), 2).when(F.when(limits, y != 4).otherwise(y == 5), 1).otherwise(0)
+    # every dump also holds a rule that is not the gate's
+    lines = F.concat(F.array(F.lit("cookie=0x1, priority=0 actions=NORMAL")), F.array_repeat(rule, rules))
+    flows = made.select("run_id", (F.col("window_index") + 1).alias("applies_to_window"), F.explode(lines).alias("flow"))
     return gate.enforcement_evidence(made, flows)
 
 

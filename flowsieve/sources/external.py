@@ -7,13 +7,16 @@ Every reader returns all rows: ``ts_epoch`` is null where the timestamp is unusa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions import cleaning
 from flowsieve.functions.ordering import SLICE, running, sliced
 from flowsieve.schemas import FLOW
 
+#: Spark's own bound (windowGroupLimitThreshold) up to which it cuts groups before a shuffle.
+GROUP_LIMIT = 1000
+
 # fixed values: columns used from each layout
 CIC_COLUMNS = [
     "Timestamp", "Source IP", "Total Fwd Packets", "Total Backward Packets",
@@ -110,7 +113,7 @@ def normalize_zeek(lines: DataFrame, source_file: Column, dataset: str = "iot23"
     counts, ip, payload = ["orig_pkts", "resp_pkts"], ["orig_ip_bytes", "resp_ip_bytes"], ["orig_bytes", "resp_bytes"]
     return _finish(split.select(
         F.lit(dataset).alias("dataset_id"), cleaning.ancestor(F.col("_file"), 2).alias("scenario_id"), F.col("_file").alias("source_file"),
-        cleaning.as_number(F.col("ts")).alias("ts_epoch"),
+        F.when(cleaning.is_finite(cleaning.as_number(F.col("ts"))), cleaning.as_number(F.col("ts"))).alias("ts_epoch"),
         _sum_of(counts, cleaning.zeek_number).alias("packets"),
         cleaning.preferred_bytes(_sum_of(ip, cleaning.zeek_number), _sum_of(payload, cleaning.zeek_number)).alias("bytes"),
         F.trim("src").alias("src"), attack.alias("is_attack"), target.alias("is_target"),
@@ -138,6 +141,14 @@ def usable(normalized: DataFrame) -> DataFrame:
 
 
 def first_rows(df: DataFrame, source: str, order: str, n: int) -> DataFrame:
-    """The first n rows of every source, by running counts, so a large source is not one task."""
+    """The first n rows of every source.
+
+    Up to GROUP_LIMIT rows Spark cuts each task's rows of a source before they are shuffled, so n rows per source and task move, first
+    to the source's salts and then together. Beyond that, running counts over range slices, so a large source is not one task.
+    """
+    if n <= GROUP_LIMIT:
+        salted = Window.partitionBy(source, F.pmod(F.xxhash64(order), F.lit(32))).orderBy(order)
+        some = df.withColumn("_at", F.row_number().over(salted)).filter(F.col("_at") <= n)
+        return some.withColumn("_at", F.row_number().over(Window.partitionBy(source).orderBy(order))).filter(F.col("_at") <= n).drop("_at")
     counted = running(sliced(df, [source], [order]), [source], [order], {"_at": F.lit(1).cast("bigint")})
     return counted.filter(F.col("_at") <= n).drop("_at", SLICE)

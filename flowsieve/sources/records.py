@@ -48,7 +48,7 @@ def normalize_events(raw: DataFrame) -> DataFrame:
         name = found[field]
         if name is None:
             return F.lit(default)
-        v = F.col(name).cast("string").try_cast("double")
+        v = cleaning.as_number(F.col(name).cast("string"))
         return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")), v).otherwise(F.lit(0.0))
 
     ts = F.col("event_ts").cast("string").try_cast("timestamp")
@@ -189,14 +189,18 @@ def window_contract(windows: DataFrame, features: Sequence[str] = FEATURES) -> D
         v = F.col(c).cast("double")
         wrong = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) | (v < 0)
         bad = bad + wrong.cast("int")
-    per_row = windows.withColumn("_bad", bad).groupBy("row_id").agg(
+    counts = ("_n", "_bad", "_order", "_zero", "_one", "_else")
+    per_row = windows.withColumn("_bad", bad).groupBy("run_id", "row_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_bad").alias("_bad"), F.count_if(F.col("window_start") >= F.col("window_end")).alias("_order"),
         F.count_if(F.col("label") == 0).alias("_zero"), F.count_if(F.col("label") == 1).alias("_one"), F.count_if(~F.col("label").isin(0, 1)).alias("_else"))
-    runs = windows.select("run_id").distinct().count()
-    rows = per_row.agg(
-        F.sum("_n").alias("rows"), F.count_if(F.col("_n") > 1).alias("duplicate_row_ids"), F.sum("_bad").alias("bad_features"),
-        F.sum("_order").alias("bad_bounds"), ((F.sum("_zero") > 0) & (F.sum("_one") > 0) & (F.sum("_else") == 0)).alias("both_classes"))
-    return rows.withColumn("runs", F.lit(runs).cast("bigint"))
+    # one row an id and one a run, from the same scan
+    sets = per_row.groupingSets([["run_id"], ["row_id"]], "run_id", "row_id").agg(
+        (F.grouping("run_id") == 1).alias("_id"), *[F.sum(c).alias(c) for c in counts])
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("_id"), F.col(c))), F.lit(0))
+    return sets.agg(
+        F.sum(F.when(F.col("_id"), F.col("_n"))).alias("rows"), F.count_if(F.col("_id") & (F.col("_n") > 1)).alias("duplicate_row_ids"),
+        F.sum(F.when(F.col("_id"), F.col("_bad"))).alias("bad_features"), F.sum(F.when(F.col("_id"), F.col("_order"))).alias("bad_bounds"),
+        ((of("_zero") > 0) & (of("_one") > 0) & (of("_else") == 0)).alias("both_classes"), F.count_if(~F.col("_id")).alias("runs"))
 
 
 def audit_lines(lines: DataFrame) -> DataFrame:

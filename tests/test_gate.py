@@ -67,18 +67,19 @@ def test_policy_limits():
 def test_fit_prefers_the_larger_threshold(spark):
     rows = [(w, A, 50) for w in range(3)] + [(0, B, 0), (1, B, 500), (2, B, 0)]
     obs = observe(spark, rows)
+    early = obs.withColumn("run_id", F.lit("q"))
     roles = spark.createDataFrame([(A, 0), (B, 1)], "source_ip string, is_attacker int")
     w = spark.createDataFrame([("r", 0, 0), ("r", 1, 1), ("r", 2, 0)], "run_id string, window_index int, prediction int")
-    policy, table = gate.fit_policy(obs, roles, w, obs, roles, [1, 1.25, 1.5, 2], [1, 2], 0.01)
+    policy, table = gate.fit_policy(early, roles, w, obs, roles, [1, 1.25, 1.5, 2], [1, 2], 0.01)
     assert (policy.byte_rate_threshold, policy.consecutive_windows) == (100.0, 1)
     chosen = table.filter("selected").collect()
     assert len(chosen) == 1 and (chosen[0].attack_targets, chosen[0].benign_targets, chosen[0].benign_opportunities) == (1, 0, 3)
-    none, _ = gate.fit_policy(obs, roles, w, obs, roles, [20], [1], 0.01)
+    none, _ = gate.fit_policy(early, roles, w, obs, roles, [20], [1], 0.01)
     assert none.byte_rate_threshold is None and none.consecutive_windows == 2
     with pytest.raises(ValueError, match="without truth"):
-        gate.fit_policy(obs, roles, w, obs, roles.filter("is_attacker = 1"), [1], [1], 0.01)
+        gate.fit_policy(early, roles, w, obs, roles.filter("is_attacker = 1"), [1], [1], 0.01)
     with pytest.raises(ValueError, match="no benign validation traffic"):
-        gate.fit_policy(obs, roles, w, obs, roles.withColumn("is_attacker", F.lit(1)), [1], [1], 0.01)
+        gate.fit_policy(early, roles, w, obs, roles.withColumn("is_attacker", F.lit(1)), [1], [1], 0.01)
     with pytest.raises(ValueError, match="development and validation"):
         gate.require_separate_runs(obs, obs)
     gate.require_separate_runs(obs, obs.withColumn("run_id", F.lit("other")))

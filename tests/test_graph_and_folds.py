@@ -124,7 +124,8 @@ def test_fit_rules(spark):
         folds.check_fit(early, late.unionByName(early.filter("run_id = 'run3'").withColumns({"window_start": F.col("window_start") + 90000, "window_end": F.col("window_end") + 90000})))
 
 
-def test_leaky_columns():
-    assert folds.is_leaky(" Status ") and folds.is_leaky("post_action_rate") and folds.is_leaky("p_attack") and not folds.is_leaky("pkt_rate")
+def test_leaky_columns(spark):
+    names = [" Status ", "post_action_rate", "p_attack", "pkt_rate"]
+    assert [r["leaky"] for r in folds.column_report(spark, names).collect()] == [True, True, True, False]
     with pytest.raises(ValueError, match="leaky"):
         folds.runtime_features(None, ["pkt_rate", "detected_at"])
