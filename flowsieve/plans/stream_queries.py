@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators import decide, gate, models, windows
 from flowsieve.plans import tables
-from flowsieve.plans.decision_queries import _DEC, _DELTA, _GATE, _POLLS, _threshold, polls
+from flowsieve.plans.decision_queries import _DEC, _DELTA, _GATE, _POLLS, _gated, _threshold, polls
 from flowsieve.plans.registry import Registry
 from flowsieve.plans.tables import WINDOW, oracle, rounded, sql_round
 from flowsieve.plans.window_queries import _FEATURE_SQL
 from flowsieve.schemas import FEATURES
-from flowsieve.session import scratch_path
-from flowsieve.streaming import flows
+from flowsieve.session import scratch_path, written
+from flowsieve.streaming import flows, stateful
 
 R = Registry()
 DELAY = 600
@@ -83,6 +83,24 @@ def live_windows(spark, folder):
     return rounded(flows.live_windows(changes, WINDOW))
 
 
+@R.add("k1_running_features", oracle(f"""SELECT run_id, window_start, switch_id, dst_ip, change, CAST(events AS DOUBLE) AS events, CAST(unique_src AS DOUBLE) AS unique_src, {sql_round(_FEATURE_SQL)} FROM wf
+      JOIN (SELECT run_id, window_start, switch_id, dst_ip, count(DISTINCT event_id % 2) AS change FROM ev GROUP BY ALL) USING (run_id, window_start, switch_id, dst_ip)"""))
+def running_features(spark, folder):
+    """The last row that the stream has given out for each window, and how often the window has changed."""
+    e, place = tables.events(spark, folder), scratch_path(spark, "running")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKS)
+    try:
+        # half of each window's events at a time, within the watermark's delay
+        changes = _arriving([e.filter(F.col("event_id") % 2 == k) for k in range(2)], "running-input",
+                            lambda s: flows.run_available(stateful.running_windows(s, WINDOW, 60 * 86_400, spread=3), place))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    keys = ["run_id", "window_start", "switch_id", "dst_ip"]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct("change", *FEATURES), "change").alias("l")).select(*keys, "l.*")
+    return rounded(last)
+
+
 @R.add("k4_streaming_decisions", oracle(f"""SELECT run_id, window_start, switch_id, dst_ip, {sql_round({'probability': 'p'})}, CASE WHEN p >= 0.3::DOUBLE THEN 1 ELSE 0 END AS prediction,
       CASE WHEN p >= 0.3::DOUBLE THEN 'RATE_LIMIT' ELSE 'NONE' END AS action, CASE WHEN p >= 0.3::DOUBLE THEN greatest(1, least(10, CAST(round_even(p * 10, 0) AS INTEGER))) ELSE 0 END AS severity
       FROM (SELECT *, least(pkt_sum / 1000, 1.0::DOUBLE) AS p FROM wf, wm WHERE window_end <= t)""", **_CLOSED))
@@ -125,6 +143,39 @@ def streaming_gate(spark, folder):
     return flows.run_available(flows.gate_decisions(obs, marks, policy, WINDOW, DELAY), scratch_path(spark, "gate"))
 
 
+# windows left out, and windows that carry the number before their own
+_TURNED = {
+    "tw": """SELECT run_id, epoch(CAST(run_id AS TIMESTAMP)) + window_index * 10800 AS ts, window_index - CASE WHEN (CAST(right(run_id, 2) AS INTEGER) * 8 + window_index) % 13 = 4 THEN 1 ELSE 0 END AS window_index
+      FROM gw WHERE (CAST(right(run_id, 2) AS INTEGER) * 8 + window_index) % 11 <> 5""",
+    "td": "SELECT *, CAST(coalesce(lag(window_index) OVER (PARTITION BY run_id ORDER BY ts), -1) + 1 AS INTEGER) AS expected FROM tw",
+}
+
+
+@R.add("k5_window_order", oracle(f"""SELECT run_id, CAST(window_index AS INTEGER) AS window_index, expected, CASE WHEN window_index = expected THEN 'ok' WHEN window_index > expected THEN 'gap' ELSE 'step_back' END AS status
+      FROM td WHERE ts + 10800 <= (SELECT max(ts) - {DELAY} FROM tw)""", **_TURNED))
+def window_order(spark, folder):
+    at = F.dayofmonth(F.to_date("run_id")) * 8 + F.col("window_index")
+    w = _stamped(tables.gate_windows(spark, folder).select("run_id", "window_index")).filter(at % 11 != 5).withColumn(
+        "window_index", F.when(at % 13 == 4, F.col("window_index") - 1).otherwise(F.col("window_index")))
+    place, part = scratch_path(spark, "order"), F.dayofmonth("window_ts")
+    # three arrivals, the stream stopped and started again between them
+    return _arriving([w.filter(part <= 9), w.filter(part.between(10, 17)), w.filter(part > 17)], "order-input",
+                     lambda s: flows.run_available(stateful.window_order(s, WINDOW, DELAY), place))
+
+
+@R.add("k7_rules_in_stream", oracle(f"""SELECT run_id, window_index, target_source, CAST((window_index + 1) * 10 AS BIGINT) AS active_from, CAST((window_index + 1) * 10 + CASE WHEN nx THEN 10 ELSE 15 END AS BIGINT) AS active_until FROM rl
+      WHERE action = 'RATE_LIMIT' AND ((nx AND ts + 20 <= wm) OR ts + 25 <= wm)""", **_GATE,
+      rl=f"""SELECT *, lead(window_index) OVER w IS NOT DISTINCT FROM window_index + 1 AS nx, max(ts) OVER () - {DELAY} AS wm FROM (SELECT *, epoch(CAST(run_id AS TIMESTAMP)) + window_index * 10 AS ts FROM sel)
+        WINDOW w AS (PARTITION BY run_id ORDER BY window_index)"""))
+def rules_in_stream(spark, folder):
+    d = _stamped(written(_gated(spark, folder), "decisions"), step=10)
+    place, part = scratch_path(spark, "lives"), F.dayofmonth("window_ts")
+    # runs and windows arrive out of order within a part
+    parts = [d.filter(part <= 7), d.filter(part.between(8, 20)), d.filter(part > 20)]
+    return _arriving([p.orderBy(F.xxhash64("run_id", "window_index")) for p in parts], "lives-input",
+                     lambda s: flows.run_available(stateful.rule_lives(s, 10, DELAY), place))
+
+
 @R.add("k6_streaming_counter_deltas", oracle("""SELECT * FROM dl WHERE epoch(CAST(run_id AS TIMESTAMP)) + window_index * 10800 + (poll_index + 1) * 1800
       <= (SELECT max(epoch(CAST(run_id AS TIMESTAMP)) + window_index * 10800 + (poll_index + 1) * 1800) - 2400 FROM pl)""", pl=_POLLS, dl=_DELTA))
 def streaming_counter_deltas(spark, folder):
