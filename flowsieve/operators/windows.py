@@ -1,15 +1,18 @@
-"""Fixed windows with traffic features; labels join on afterwards.
+"""Fixed windows with traffic features and, beside them, labels.
 
-Features are built in two levels, first per (window, source) and then per window,
+Both are built in two levels, first per (window, source) and then per window,
 so entropy and distinct sources never need a collected list or a distinct set, and
-a hot window or a hot source is reduced before it is shuffled.
+a hot window or a hot source is reduced before it is shuffled. Labels ride in columns of
+their own through the same two aggregates, so a table is one scan and one wide shuffle; a
+plan of the features alone reads no label column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from flowsieve.functions import cleaning
@@ -21,15 +24,16 @@ def entropy_of(total: Column, weighted: Column) -> Column:
     return F.when(total > 0, F.greatest(F.log2(total) - weighted / total, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def source_counts(df: DataFrame, keys: Sequence[str], source: str, sums: dict[str, Column]) -> DataFrame:
-    """Level one: one row per (window, source)."""
+def source_counts(df: DataFrame, keys: Sequence[str], source: str, sums: dict[str, Column], beside: dict[str, Column] | None = None) -> DataFrame:
+    """Level one: one row per (window, source); ``beside`` are further aggregates, such as those of labels."""
     return df.groupBy(*keys, F.col(source).alias("_src")).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(n) for n, c in sums.items()]
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(n) for n, c in sums.items()],
+        *[c.alias(n) for n, c in (beside or {}).items()]
     )
 
 
-def window_totals(counts: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """Level two: one row per window; a null source counts for traffic, not for entropy."""
+def window_totals(counts: DataFrame, keys: Sequence[str], sums: Sequence[str], beside: dict[str, Column] | None = None) -> DataFrame:
+    """Level two: one row per window; a null source counts for traffic, not for entropy. ``beside`` aggregates the columns of level one's."""
     named = F.col("_src").isNotNull()
     n = F.col("_n").cast("double")
     merged = counts.groupBy(*keys).agg(
@@ -38,13 +42,14 @@ def window_totals(counts: DataFrame, keys: Sequence[str], sums: Sequence[str]) -
         F.sum(F.when(named, n)).alias("_named"),
         F.sum(F.when(named, n * F.log2(n))).alias("_weighted"),
         *[F.sum(c).alias(c) for c in sums],
+        *[c.alias(n) for n, c in (beside or {}).items()],
     )
     return merged.withColumn(
         "_entropy", F.coalesce(entropy_of(F.col("_named"), F.col("_weighted")), F.lit(0.0))
     )
 
 
-def _features(totals: DataFrame, keys: Sequence[str], seconds: int, flow_count: Column) -> DataFrame:
+def _features(totals: DataFrame, keys: Sequence[str], seconds: int, flow_count: Column, beside: Sequence[Column] = ()) -> DataFrame:
     w = F.lit(float(seconds))
     flows = flow_count.cast("double")
     return totals.select(
@@ -57,6 +62,7 @@ def _features(totals: DataFrame, keys: Sequence[str], seconds: int, flow_count:
         F.col("_entropy").alias("src_ip_entropy"),
         flows.alias("flow_count"),
         (flows / w).alias("flow_rate"),
+        *beside,
     )
 
 
@@ -64,16 +70,32 @@ def _sorted_text(column: str, separator: str) -> Column:
     return F.array_join(F.array_sort(F.collect_set(column)), separator)
 
 
-def flow_feature_windows(flows: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
-    """Label-free features of normalized flow rows per ``keys`` and window start."""
+def _text_sets(column: str, separator: str) -> Column:
+    """Sorted union of the sets that level one has made; sources with equal sets give one."""
+    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(column)))), separator)
+
+
+def _label_columns(attack: Column, target: Column, other: Column, rows: Column) -> dict[str, Column]:
+    return {
+        "label": (attack > 0).cast("int"), "target_label": (target > 0).cast("int"), "target_eligible": (other == 0).cast("int"),
+        "attack_fraction": attack / rows,
+    }
+
+
+def labelled_flow_windows(flows: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
+    """Features of normalized flow rows per ``keys`` and window start, and beside them the window's labels."""
     by = [*keys, "window_start_epoch"]
     source = F.when(F.col("src").isin("", "-"), F.lit(None)).otherwise(F.col("src"))
     rows = flows.select(
-        *keys, cleaning.window_floor(F.col("ts_epoch"), seconds).alias("window_start_epoch"),
-        source.alias("src"), "packets", "bytes",
-    )
-    counts = source_counts(rows, by, "src", {"_pkt": F.col("packets"), "_byte": F.col("bytes")})
-    return _features(window_totals(counts, by, ["_pkt", "_byte"]), by, seconds, F.col("_events"))
+        *keys, cleaning.window_floor(F.col("ts_epoch"), seconds).alias("window_start_epoch"), source.alias("src"), "packets", "bytes",
+        "is_attack", "is_target", "is_other", F.when(F.col("label_text") != "", F.col("label_text")).alias("label_text"))
+    marks = ["is_attack", "is_target", "is_other"]
+    counts = source_counts(
+        rows, by, "src", {"_pkt": F.col("packets"), "_byte": F.col("bytes")}, {**{c: F.sum(c) for c in marks}, "_texts": F.collect_set("label_text")})
+    totals = window_totals(counts, by, ["_pkt", "_byte"], {**{c: F.sum(c) for c in marks}, "label_types": _text_sets("_texts", ";")})
+    labels = _label_columns(*[F.col(c) for c in marks], F.col("_events"))
+    return _features(totals, by, seconds, F.col("_events"), [
+        *[c.alias(n) for n, c in labels.items()], F.col("_events").alias("raw_rows"), F.col("label_types")])
 
 
 def flow_window_labels(flows: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
@@ -92,14 +114,8 @@ def flow_window_labels(flows: DataFrame, keys: Sequence[str], seconds: int) -> D
         F.sum("_target").alias("_target"), F.sum("_other").alias("_other"),
         _sorted_text("label_text", ";").alias("label_types"),
     )
-    return merged.select(
-        *by,
-        (F.col("_attack") > 0).cast("int").alias("label"),
-        (F.col("_target") > 0).cast("int").alias("target_label"),
-        (F.col("_other") == 0).cast("int").alias("target_eligible"),
-        (F.col("_attack") / F.col("raw_rows")).alias("attack_fraction"),
-        "raw_rows", "label_types",
-    )
+    labels = _label_columns(F.col("_attack"), F.col("_target"), F.col("_other"), F.col("raw_rows"))
+    return merged.select(*by, *[c.alias(n) for n, c in labels.items()], "raw_rows", "label_types")
 
 
 def flow_windows(flows: DataFrame, seconds: int = 5, *, merge_files: bool = False) -> DataFrame:
@@ -107,10 +123,7 @@ def flow_windows(flows: DataFrame, seconds: int = 5, *, merge_files: bool = Fals
     keys = ["dataset_id", "scenario_id", "timestamp_basis"]
     if not merge_files:
         keys = [*keys, "source_file"]
-    features = flow_feature_windows(flows, keys, seconds)
-    labels = flow_window_labels(flows, keys, seconds)
-    by = [*keys, "window_start_epoch"]
-    table = features.join(labels, by)
+    table = labelled_flow_windows(flows, keys, seconds)
     if merge_files:
         table = table.withColumn("source_file", F.lit("multiple_scenario_logs; see source_files.csv"))
     basis = F.col("timestamp_basis")
@@ -137,33 +150,23 @@ def event_windows(events: DataFrame, seconds: int = 5) -> DataFrame:
     rows = with_window(events, seconds)
     counts = source_counts(rows, keys, "src_ip", {
         "_pkt": F.col("packet_count"), "_byte": F.col("byte_count"), "_flow": F.col("flow_count"),
-    })
-    features = _features(window_totals(counts, keys, ["_pkt", "_byte", "_flow"]), keys, seconds, F.col("_flow"))
-    labels = rows.groupBy(*keys).agg(F.max("label").alias("label"))
-    return features.join(labels, keys).withColumn("window_end", F.col("window_start") + seconds)
+    }, {"label": F.max("label")})
+    totals = window_totals(counts, keys, ["_pkt", "_byte", "_flow"], {"label": F.max("label")})
+    return _features(totals, keys, seconds, F.col("_flow"), [F.col("label")]).withColumn("window_end", F.col("window_start") + seconds)
 
 
-def switch_feature_windows(events: DataFrame, seconds: int) -> DataFrame:
-    """Per (run, window, switch, destination); flow_count falls back to the event count."""
+def switch_windows(events: DataFrame, seconds: int = 5) -> DataFrame:
+    """Features plus row id, label and the sorted scenario set of each switch-destination window."""
     keys = ["run_id", "window_start", "switch_id", "dst_ip"]
     counts = source_counts(with_window(events, seconds), keys, "src_ip", {
         "_pkt": F.col("packet_count"), "_byte": F.col("byte_count"), "_flow": F.col("flow_count"),
-    })
-    totals = window_totals(counts, keys, ["_pkt", "_byte", "_flow"])
+    }, {"label": F.max("label"), "_scenarios": F.collect_set("scenario_id")})
+    totals = window_totals(counts, keys, ["_pkt", "_byte", "_flow"], {"label": F.max("label"), "scenario_id": _text_sets("_scenarios", "|")})
+    # the flow count falls back to the number of events
     flows = F.when(F.col("_flow") > 0, F.col("_flow")).otherwise(F.col("_events"))
-    return _features(totals, keys, seconds, flows)
-
-
-def switch_windows(events: DataFrame, seconds: int = 5) -> DataFrame:
-    """Features plus row id, label and the sorted scenario set of each switch-destination window."""
-    keys = ["run_id", "window_start", "switch_id", "dst_ip"]
-    features = switch_feature_windows(events, seconds)
-    labels = (
-        with_window(events, seconds).groupBy(*keys, "scenario_id").agg(F.max("label").alias("label"))
-        .groupBy(*keys).agg(F.max("label").alias("label"), _sorted_text("scenario_id", "|").alias("scenario_id"))
-    )
+    table = _features(totals, keys, seconds, flows, [F.col("label"), F.col("scenario_id")])
     iso = F.date_format(F.timestamp_seconds("window_start"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    return features.join(labels, keys).withColumns({
+    return table.withColumns({
         "row_id": F.concat_ws("|", "run_id", iso, "switch_id", "dst_ip"),
         "window_end": F.col("window_start") + seconds,
     }).select("row_id", *keys, "window_end", "scenario_id", "label", *FEATURES)
@@ -237,3 +240,28 @@ def ingest_statistics(normalized: DataFrame) -> DataFrame:
         F.count_if(F.col("ts_epoch").isNull()).alias("dropped_bad_timestamps"),
         F.sum(F.when(F.col("ts_epoch").isNotNull(), F.col("bad_numbers")).otherwise(0)).alias("numeric_coercions"),
     )
+
+
+def ingest(normalized: DataFrame, path: str, seconds: int = 5, *, merge_files: bool = False) -> dict[str, int]:
+    """Write one dataset's windows to ``path`` and count in the same pass: rows, dropped times, bad numbers, windows, windows by label.
+
+    The counts are metrics of the write itself (``DataFrame.observe``), so nothing is read twice. A dataset without rows counts 0.
+    """
+    read, made = Observation("read"), Observation("made")
+    time = F.col("ts_epoch").isNotNull()
+    rows = normalized.observe(
+        read, F.count(F.lit(1)).alias("raw_rows"), F.count_if(~time).alias("dropped_bad_timestamps"),
+        F.sum(F.when(time, F.col("bad_numbers")).otherwise(0)).alias("numeric_coercions"))
+    table = flow_windows(rows.filter(time).drop("bad_numbers"), seconds, merge_files=merge_files).observe(
+        made, F.count(F.lit(1)).alias("windows"), F.count_if(F.col("label") == 0).alias("windows_label_0"), F.count_if(F.col("label") == 1).alias("windows_label_1"))
+    table.write.mode("errorifexists").parquet(path)
+    return {**_observed(read, ["raw_rows", "dropped_bad_timestamps", "numeric_coercions"]), **_observed(made, ["windows", "windows_label_0", "windows_label_1"])}
+
+
+def _observed(metrics: Observation, names: Sequence[str]) -> dict[str, int]:
+    """The metrics of a write that has succeeded; where the optimizer saw that a table is empty it took the metrics away with it."""
+    try:
+        found = metrics.get
+    except Py4JJavaError:
+        found = {}
+    return {name: int(found.get(name) or 0) for name in names}

@@ -61,6 +61,17 @@ def ingest_statistics(spark, folder):
     return windows.ingest_statistics(_cic(spark, folder))
 
 
+_PASS = ["raw_rows", "dropped_bad_timestamps", "numeric_coercions", "windows", "windows_label_0", "windows_label_1"]
+
+
+@R.add("c9_ingest_pass", oracle("""SELECT count(*) AS raw_rows, count(*) FILTER (ts_epoch IS NULL) AS dropped_bad_timestamps, CAST(coalesce(sum(bad_numbers) FILTER (ts_epoch IS NOT NULL), 0) AS BIGINT) AS numeric_coercions,
+      (SELECT count(*) FROM iw) AS windows, (SELECT count(*) FROM iw WHERE l = 0) AS windows_label_0, (SELECT count(*) FROM iw WHERE l = 1) AS windows_label_1 FROM nrm""", nrm=_CIC_SQL,
+      iw="SELECT floor(ts_epoch / 10800) AS w, max(is_attack) AS l FROM nrm WHERE ts_epoch IS NOT NULL GROUP BY w"))
+def ingest_pass(spark, folder):
+    counts = windows.ingest(_cic(spark, folder), scratch_path(spark, "ingested"), WINDOW, merge_files=True)
+    return spark.createDataFrame([tuple(counts[c] for c in _PASS)], ", ".join(f"{c} bigint" for c in _PASS))
+
+
 _ZEEK_NUM = "CASE WHEN k % 13 = 0 OR k % 11 = 0 OR k % 7 = 0 OR k % 5 = 0 THEN 0 ELSE packet_count END"
 _ZEEK_SQL = f"""SELECT 'iot23' AS dataset_id, CASE WHEN k % 23 = 0 THEN NULL ELSE us / 1e6 END AS ts_epoch, {_ZEEK_NUM} + flow_count AS packets,
       CASE WHEN ipb > 0 THEN ipb ELSE pay END AS bytes, src_ip AS src, label AS is_attack, CASE WHEN k % 2 = 0 AND label = 1 THEN 1 ELSE 0 END AS is_target,

@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowsieve.operators import curves, gate, windows
 from flowsieve.plans import tables
+from flowsieve.schemas import FEATURES
 
 FOLDER = "/root/testdata/sf0.001"
 
 
 def plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "5000")
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -34,3 +37,28 @@ def test_no_python_no_cross_join_no_single_partition(spark, build):
     text = plan(build(spark))
     assert "Python" not in text and "Pandas" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
     assert "SinglePartition" not in text
+
+
+FEATURE_BUILDS = {
+    "flows": (lambda s: windows.flow_windows(tables.table(s, FOLDER, "lineitem").select(
+        F.lit("d").alias("dataset_id"), F.lit("s").alias("scenario_id"), "l_linestatus", F.col("l_linestatus").alias("source_file"), F.unix_timestamp("l_shipdate").cast("double").alias("ts_epoch"),
+        F.col("l_quantity").alias("packets"), F.col("l_extendedprice").alias("bytes"), F.col("l_suppkey").cast("string").alias("src"), F.col("l_tax").alias("is_attack"),
+        F.col("l_discount").alias("is_target"), F.col("l_orderkey").alias("is_other"), F.col("l_returnflag").alias("label_text"), F.lit("unix_utc").alias("timestamp_basis")), 604800),
+        {"l_tax", "l_discount", "l_orderkey", "l_returnflag"}),
+    "switches": (lambda s: windows.switch_windows(tables.table(s, FOLDER, "lineitem").select(
+        F.col("l_linestatus").alias("run_id"), F.col("l_shipdate").cast("timestamp").alias("event_ts"), F.col("l_linenumber").cast("string").alias("switch_id"), F.col("l_linestatus").alias("dst_ip"),
+        F.col("l_suppkey").cast("string").alias("src_ip"), F.col("l_quantity").cast("bigint").alias("packet_count"), F.col("l_extendedprice").cast("bigint").alias("byte_count"),
+        F.lit(1).alias("flow_count"), F.col("l_tax").alias("label"), F.col("l_returnflag").alias("scenario_id")), 604800), {"l_tax", "l_returnflag"}),
+}
+
+
+@pytest.mark.parametrize("kind", FEATURE_BUILDS)
+def test_one_scan_one_wide_shuffle_and_features_without_labels(spark, kind):
+    build, label_columns = FEATURE_BUILDS[kind]
+    whole = build(spark)
+    text = plan(whole)
+    assert text.count("ReadSchema") == 1 and len(re.findall(r"Exchange hashpartitioning", text)) == 2 and "Join" not in text
+    read = lambda df: set(re.findall(r"(\w+):", re.search(r"ReadSchema: struct<([^>]*)>", plan(df))[1]))
+    assert label_columns <= read(whole)
+    # with the labels projected away their columns are not even read
+    assert not label_columns & read(whole.select(*FEATURES))
