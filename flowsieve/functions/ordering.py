@@ -93,6 +93,25 @@ def lagged(
     return joined.withColumn(name, F.coalesce(value, fallback)).drop("_first", "_local", "_carry")
 
 
+def last_before(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], columns: dict[str, Column]) -> DataFrame:
+    """For each column its last value that is not null on the rows before, per group of a sliced frame; null if there is none.
+
+    All columns are carried together: one value a (group, slice) and column crosses the slices, and the rows themselves are sorted once.
+    """
+    keys = _plain(order)
+    named = df.withColumns({f"_own_{n}": c for n, c in columns.items()})
+    tails = named.groupBy(*by, SLICE).agg(*[
+        F.max_by(f"_own_{n}", F.when(F.col(f"_own_{n}").isNotNull(), F.struct(*keys))).alias(f"_tail_{n}") for n in columns])
+    # one row per (group, slice): at most as many rows per group as there are slices
+    earlier = Window.partitionBy(*by, F.lit(0)).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(*by, SLICE, *[F.last(f"_tail_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in columns])
+    local = Window.partitionBy(*by, SLICE).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    inside = named.withColumns({f"_near_{n}": F.last(f"_own_{n}", ignorenulls=True).over(local) for n in columns})
+    joined = inside.join(carried, [*by, SLICE], "left")
+    return joined.withColumns({n: F.coalesce(f"_near_{n}", f"_carry_{n}") for n in columns}).drop(
+        *[f"_{part}_{n}" for part in ("own", "near", "carry") for n in columns])
+
+
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "row_index", slices: int | None = None) -> DataFrame:
     """Zero-based position in the total order, plus ``<name>_total``."""
     parts = sliced(df, [], order, slices)

@@ -20,7 +20,7 @@ R = Registry()
 
 _BODY = """'{"idx":' || event_id || ',"switch":"' || switch_id || '"}'"""
 _CHAIN = {
-    "rn": f"SELECT run_id, event_id, switch_id, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS n, {_BODY} AS body FROM ev",
+    "rn": f"SELECT run_id || '/' || src_ip AS run_id, event_id, switch_id, row_number() OVER (PARTITION BY ev.run_id, src_ip ORDER BY event_id) AS n, {_BODY} AS body FROM ev",
     "ch": """SELECT run_id, event_id, switch_id, n, repeat('0', 64) AS prev, sha256('{"prev_hash":"' || repeat('0', 64) || '","record":' || body || '}') AS h FROM rn WHERE n = 1
       UNION ALL SELECT rn.run_id, rn.event_id, rn.switch_id, rn.n, ch.h, sha256('{"prev_hash":"' || ch.h || '","record":' || rn.body || '}') FROM ch JOIN rn ON rn.run_id = ch.run_id AND rn.n = ch.n + 1""",
     "ln": """SELECT run_id AS chain_id, event_id AS seq, '{"idx":' || event_id || ',"prev_hash":"' || prev || '","record_hash":"' || h || '","switch":"' || switch_id || '"}' AS raw, prev, h FROM ch""",
@@ -34,7 +34,7 @@ def _recursive(sql: str) -> str:
 def _chains(spark, folder):
     body = F.concat(F.lit('{"idx": '), F.col("event_id").cast("string"), F.lit(', "switch": "'), F.col("switch_id"), F.lit('"}'))
     return integrity.build_chains(tables.events(spark, folder).select(
-        F.col("run_id").alias("chain_id"), F.col("event_id").alias("seq"), body.alias("record")))
+        F.concat("run_id", F.lit("/"), "src_ip").alias("chain_id"), F.col("event_id").alias("seq"), body.alias("record")))
 
 
 @R.add("l2_chain_build", _recursive(oracle("SELECT chain_id, seq, raw FROM ln", **_CHAIN)))
@@ -43,10 +43,10 @@ def chain_build(spark, folder):
 
 
 def _tampered(spark, folder):
-    """Every 97th record altered, every 101st unlinked, one chain cut short by a broken line, one with unhashed lines."""
+    """Every 97th record altered, every 101st unlinked, the chains of one run cut short by broken lines, those of another with unhashed lines."""
     c, s = written(_chains(spark, folder), "audit"), F.col("seq")
-    raw = (F.when(F.col("chain_id").endswith("-05") & (s % 50 == 0), F.lit('{"idx":'))
-           .when(F.col("chain_id").endswith("-06") & (s % 60 == 0), F.lit('{"idx":0}'))
+    raw = (F.when(F.col("chain_id").contains("-05/") & (s % 50 == 0), F.lit('{"idx":'))
+           .when(F.col("chain_id").contains("-06/") & (s % 60 == 0), F.lit('{"idx":0}'))
            .when(s % 97 == 0, F.regexp_replace("raw", '"switch":"sw', '"switch":"xx'))
            .when(s % 101 == 0, F.regexp_replace("raw", '"prev_hash":"..', '"prev_hash":"zz')).otherwise(F.col("raw")))
     return c.withColumn("raw", raw)
@@ -54,7 +54,7 @@ def _tampered(spark, folder):
 
 _VERIFY = {
     **_CHAIN,
-    "tm": """SELECT *, chain_id LIKE '%-05' AND seq % 50 = 0 AS mal, chain_id LIKE '%-06' AND seq % 60 = 0 AS unh FROM ln""",
+    "tm": """SELECT *, chain_id LIKE '%-05/%' AND seq % 50 = 0 AS mal, chain_id LIKE '%-06/%' AND seq % 60 = 0 AS unh FROM ln""",
     "ct": "SELECT chain_id, min(seq) AS cut FROM tm WHERE mal GROUP BY chain_id",
     "kp": "SELECT tm.*, NOT mal AND NOT unh AND seq % 97 = 0 AS alt, NOT mal AND NOT unh AND seq % 97 <> 0 AND seq % 101 = 0 AS unl FROM tm LEFT JOIN ct USING (chain_id) WHERE cut IS NULL OR seq < cut",
     "lk": "SELECT *, CASE WHEN unl THEN 'zz' || substr(prev, 3) ELSE prev END <> coalesce(lag(h) OVER (PARTITION BY chain_id ORDER BY seq), repeat('0', 64)) AS lb FROM kp WHERE NOT unh",

@@ -199,3 +199,22 @@ def test_digests_tell_rows_apart(spark):
     assert found.count() == len(rows)
     none = integrity.table_hash(spark.createDataFrame([], "a string"), ["a"]).first()
     assert (none.rows, none.digest_sum) == (0, "0:0:0:0")
+
+
+def test_last_value_is_carried_over_slices(spark):
+    from flowsieve.functions import ordering
+
+    data = [(g, i, (i if i % 7 == 3 else None) if g == "a" else None, i == 40) for g in ("a", "b") for i in range(60)]
+    df = spark.createDataFrame(data, "g string, i bigint, v bigint, w boolean")
+    parts = ordering.sliced(df, ["g"], ["i"], slices=9)
+    out = ordering.last_before(parts, ["g"], ["i"], {"near": F.col("v"), "flag": F.when(F.col("w"), F.lit(True))})
+    found = {(r.g, r.i): (r.near, r.flag) for r in out.collect()}
+    for g, i, _, _ in data:
+        past = [v for h, j, v, _ in data if h == g and j < i and v is not None]
+        assert found[g, i] == (past[-1] if past else None, True if i > 40 else None)
+
+
+def test_verification_joins_no_lines(spark):
+    text = integrity.chain_checks(chain(spark, 20))._jdf.queryExecution().executedPlan().toString()
+    # the only join brings the carried values, by slice
+    assert text.count("Join") <= 1 and "_slice" in text[text.index("Join"):][:200]
