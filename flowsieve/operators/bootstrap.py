@@ -16,14 +16,30 @@ from flowsieve.functions.ordering import SLICE, running, sliced
 from flowsieve.functions.quantiles import exact_quantiles
 from flowsieve.operators import curves, metrics
 
-SALTS = 16
+#: Rows of one block that one task may join; blocks with more are salted. Draws are dealt out by ranges of SPAN.
+HEAVY, SPAN = 100_000, 1 << 20
 CLUSTER_METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "fpr", "fnr", "benign_damage", "reward_mean"]
 
 
 def draw(seed: int, replicate: Column, position: Column, count: Column) -> Column:
-    """Block number of one draw, uniform on 0..count-1."""
+    """Block number of one draw, uniform on 0..count-1: 60 bits, so no block is favoured by more than count / 2 ** 60."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), position.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % count
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % count
+
+
+def counted_out(df: DataFrame, count: str, name: str, spread: Sequence[str] = ()) -> DataFrame:
+    """Each row ``count`` times, numbered 0, 1, ... in ``name``; by digits of 1024, so no row ever holds the numbers in an array.
+
+    Rows are dealt out anew by ``spread`` and range of SPAN numbers, which spreads a few rows with large counts over all tasks.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.withColumn(name, F.lit(0).cast("bigint"))
+    for width in (SPAN << 20, SPAN << 10, SPAN, 1 << 10, 1):
+        # an explicit number of tasks keeps adaptive coalescing from undoing the spread
+        out = out.repartition(tasks, *spread, name) if width == 1 << 10 else out
+        digits = F.sequence(F.lit(0).cast("bigint"), F.least(F.expr(f"({count} - 1 - {name}) div {width}"), F.lit(1023)))
+        out = out.withColumn("_digit", F.explode(digits)).withColumn(name, F.col(name) + F.col("_digit") * width).drop("_digit")
+    return out
 
 
 def numbered_blocks(blocks: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -39,12 +55,7 @@ def multiplicities(numbered: DataFrame, replicates: int, seed: int) -> DataFrame
     """
     sizes = numbered.select("blocks").distinct()
     spread = sizes.select("blocks", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    # one row per (size, replicate) is spread out before each expands to its own draws
-    # (an explicit number keeps adaptive coalescing from undoing that)
-    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = spread.repartition(tasks, "blocks", "replicate")
-    drawn = spread.select(
-        "replicate", "blocks", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("_j"))
+    drawn = counted_out(spread, "blocks", "_j", ["blocks", "replicate"])
     picked = drawn.select("replicate", "blocks", draw(seed, F.col("replicate"), F.col("_j"), F.col("blocks")).alias("block"))
     return picked.groupBy("blocks", "replicate", "block").agg(F.count(F.lit(1)).alias("times"))
 
@@ -98,9 +109,7 @@ def _resampled_areas(df: DataFrame, by: Sequence[str], cluster: Sequence[str], n
     histogram = curves.score_histogram(df, [*by, *cluster]).join(numbered.select(*by, *cluster, "block", "blocks"), [*by, *cluster])
     # slices follow the score only, so they stay valid inside every replicate
     parts = sliced(histogram.drop(*cluster), by, [F.col("score").desc()])
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("score"), F.lit(SALTS)).cast("int"))
-    repeated = times.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    weighted = salted.join(repeated, ["blocks", "block", "_salt"]).groupBy(*by, "replicate", SLICE, "score").agg(
+    weighted = _beside_times(parts, times).groupBy(*by, "replicate", SLICE, "score").agg(
         F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg"))
     keys = [*by, "replicate"]
     run = running(weighted, keys, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, totals=True)
@@ -109,6 +118,18 @@ def _resampled_areas(df: DataFrame, by: Sequence[str], cluster: Sequence[str], n
     return areas.select(*keys, F.when(both, F.col("roc_auc")).alias("roc_auc"), "pr_auc")
 
 
+def _beside_times(parts: DataFrame, times: DataFrame) -> DataFrame:
+    """Histogram rows with the times of their block; only blocks measured as heavy are salted, and only their draws repeated."""
+    keys = ["blocks", "block"]
+    heavy = parts.groupBy(*keys).agg(F.expr(f"count(1) div {HEAVY} + 1").alias("_salts")).filter("_salts > 1")
+    if heavy.isEmpty():
+        return parts.join(times, keys)
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = parts.join(heavy, keys, "left").withColumn("_salt", F.pmod(F.xxhash64("score"), salts)).drop("_salts")
+    repeated = times.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_salts")
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def paired_rows(predictions: DataFrame, baseline: str) -> DataFrame:
     """Every other policy next to the baseline on (fold, row_id).
 

@@ -275,7 +275,7 @@ _FOLD = {
     "rb": "SELECT run_id, min(window_start) AS s, max(window_end) AS e FROM wf GROUP BY run_id",
     "rk": "SELECT *, row_number() OVER (ORDER BY s, run_id) - 1 AS k, count(*) OVER () AS n FROM rb",
     "fa": """SELECT CAST(f AS INTEGER) AS fold, run_id, CASE WHEN k < 10 + f * 4 THEN 'train' WHEN k < 13 + f * 4 THEN 'validation' ELSE 'test' END AS role
-      FROM rk, range(0, 100) t(f) WHERE f < (n - 13) // 4 AND k < 17 + f * 4""",
+      FROM rk, (SELECT unnest(range(0, greatest(max(n) // 4, 0))) AS f FROM rk) WHERE f < (n - 13) // 4 AND k < 17 + f * 4""",
     "fd": """SELECT fold, role, count(*) AS n, count(*) FILTER (label = 0) AS benign, count(*) FILTER (label = 1) AS attack, min(window_start) AS s, max(window_end) AS e,
       count(DISTINCT run_id) AS runs FROM fa JOIN wf USING (run_id) GROUP BY fold, role""",
 }
@@ -285,8 +285,15 @@ def _switch(spark, folder):
     return windows.switch_windows(tables.events(spark, folder), WINDOW)
 
 
+_PLAN = folds.FoldPlan(10, 3, 4)
+
+
+def _ranked(spark, folder):
+    return folds.ranked_runs(folds.run_bounds(_switch(spark, folder)))
+
+
 def _assigned(spark, folder):
-    return folds.fold_runs(folds.ranked_runs(folds.run_bounds(_switch(spark, folder))), 10, 3, 4)
+    return folds.fold_runs(_ranked(spark, folder), _PLAN.first, _PLAN.validation, _PLAN.size)
 
 
 @R.add("c11_run_bounds", oracle('SELECT run_id, s AS "start", e AS "end" FROM rb', **_FOLD))
@@ -314,12 +321,12 @@ def run_overlaps(spark, folder):
 
 @R.add("c12_fold_definitions", oracle('SELECT fold, role, n, benign, attack, s AS "start", e AS "end", runs FROM fd', **_FOLD))
 def fold_definitions(spark, folder):
-    return folds.fold_definitions(_switch(spark, folder), _assigned(spark, folder))
+    return folds.fold_summary(_switch(spark, folder), _ranked(spark, folder), _PLAN)
 
 
 @R.add("c12_fold_scenarios", oracle("SELECT fold, role, scenario_id, count(*) AS n FROM fa JOIN wf USING (run_id) GROUP BY fold, role, scenario_id", **_FOLD))
 def fold_scenarios(spark, folder):
-    return folds.fold_scenarios(_switch(spark, folder), _assigned(spark, folder))
+    return folds.fold_scenario_counts(_switch(spark, folder), _ranked(spark, folder), _PLAN)
 
 
 @R.add("f10_shared_runs", oracle("""SELECT fold, run_id, count(DISTINCT role) AS roles FROM (SELECT * FROM fa UNION ALL SELECT fold, run_id, 'test' FROM fa WHERE run_id LIKE '%-12') GROUP BY fold, run_id HAVING count(DISTINCT role) > 1""", **_FOLD))
@@ -333,8 +340,8 @@ def shared_runs(spark, folder):
       va.benign > 0 AND va.attack > 0 AS validation_has_both_classes, te.benign > 0 AND te.attack > 0 AS test_has_both_classes
       FROM (SELECT * FROM fd WHERE role = 'train') tr JOIN (SELECT * FROM fd WHERE role = 'validation') va USING (fold) JOIN (SELECT * FROM fd WHERE role = 'test') te USING (fold)""", **_FOLD))
 def governance(spark, folder):
-    a = _assigned(spark, folder)
-    return folds.governance(folds.fold_definitions(_switch(spark, folder), a), a)
+    w, ranked = _switch(spark, folder), _ranked(spark, folder)
+    return folds.governance(folds.fold_summary(w, ranked, _PLAN), folds.overlapping_parts(folds.fold_ranges(ranked, _PLAN)))
 
 
 @R.add("b11_leakage_filter", oracle("""SELECT * FROM (VALUES ('event_id', false, (SELECT count(*) FROM events)), ('event_type', false, 0::BIGINT), ('value', false, (SELECT count(*) FROM events)),

@@ -36,7 +36,7 @@ UTILITY_SQL = "(2.0::DOUBLE * {tp} - 2.0::DOUBLE * {fn} - 1.25::DOUBLE * {fp} +
     fn="count(*) FILTER (label = 1 AND prediction = 0)", tp="count(*) FILTER (label = 1 AND prediction = 1)")
 GAIN = ("CASE WHEN label = 1 AND {a} = 1 THEN 2.0::DOUBLE WHEN label = 1 THEN -2.0::DOUBLE "
         "WHEN {a} = 1 THEN -1.25::DOUBLE ELSE 0.2::DOUBLE END")
-DRAW = "CAST(concat('0x', substr(md5(concat_ws('|', '{seed}', r, j)), 1, 8)) AS BIGINT) % b"
+DRAW = "CAST(concat('0x', substr(md5(concat_ws('|', '{seed}', r, j)), 1, 15)) AS BIGINT) % b"
 
 
 @R.add("h1_confusion", oracle(f"SELECT dataset, fold, {COUNTS_SQL} FROM sc GROUP BY dataset, fold"))
@@ -235,13 +235,13 @@ def paired_policies(spark, folder):
     return rounded(bootstrap.paired_differences(tables.policies(spark, folder), BASELINE_POLICY, ["fold", "run_id"], 2000), 9)
 
 
-@R.add("h14_mcnemar", oracle("""SELECT run_id, a AS policy_only_correct, b AS baseline_only_correct, round(1e-9 + CASE WHEN a = b THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE,
+@R.add("h14_mcnemar", oracle("""SELECT policy, run_id, a AS policy_only_correct, b AS baseline_only_correct, round(1e-9 + CASE WHEN a = b THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE,
       2 * list_sum(list_transform(range(0, least(a, b) + 1), lambda k: exp(lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) - (a + b) * ln(2.0::DOUBLE))))) END, 6) + 0.0 AS mcnemar_exact_p FROM
-      (SELECT run_id, count(*) FILTER (prediction = label AND bp <> label) AS a, count(*) FILTER (bp = label AND prediction <> label) AS b FROM pr WHERE policy = 'bipartite' GROUP BY run_id)""", **_PAIR))
+      (SELECT policy, run_id, count(*) FILTER (prediction = label AND bp <> label) AS a, count(*) FILTER (bp = label AND prediction <> label) AS b FROM pr GROUP BY policy, run_id)""", **_PAIR))
 def mcnemar(spark, folder):
-    rows = bootstrap.paired_rows(tables.policies(spark, folder), BASELINE_POLICY).filter("policy = 'bipartite'")
+    rows = bootstrap.paired_rows(tables.policies(spark, folder), BASELINE_POLICY)
     y, a, b = F.col("label"), F.col("prediction"), F.col("base_prediction")
-    counts = rows.groupBy("run_id").agg(
+    counts = rows.groupBy("policy", "run_id").agg(
         F.count_if((a == y) & (b != y)).alias("policy_only_correct"), F.count_if((b == y) & (a != y)).alias("baseline_only_correct"))
     return rounded(bootstrap.with_mcnemar(counts))
 
@@ -376,6 +376,11 @@ def audit_difference(spark, folder):
     return rounded(bootstrap.mean_summary(gaps, ["dataset", "comparison", "metric"], ["seed"], "difference", 5000, 20261010))
 
 
+@R.add("h18_trial_table", _summary_sql("lg", "dataset, setting, metric", 5000, 20261010, {**_TRIAL, "lg": _LONG}))
+def trial_table(spark, folder):
+    return rounded(bootstrap.mean_summary(_long_trials(spark, folder), ["dataset", "setting", "metric"], ["seed"], "value", 5000, 20261010))
+
+
 def _t_table() -> str:
     """Student-t 97.5 % points by integrating the density, independent of the library's own routine."""
     import math

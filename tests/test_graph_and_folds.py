@@ -89,10 +89,37 @@ def test_two_expanding_folds(spark):
     assert out[0, "test"] == {"run6"} and out[1, "test"] == {"run7"}
     a = assigned(spark)
     assert folds.shared_runs(a).count() == 0
-    report = folds.governance(folds.fold_definitions(run_windows(spark), a), a).collect()
+    plan, ranked = folds.FoldPlan(4, 2, 1), folds.ranked_runs(folds.run_bounds(run_windows(spark)))
+    report = folds.governance(folds.fold_summary(run_windows(spark), ranked, plan), folds.overlapping_parts(folds.fold_ranges(ranked, plan))).collect()
     assert len(report) == 2 and all(all(v for k, v in r.asDict().items() if k != "fold") for r in report)
 
 
+@pytest.mark.parametrize(("first", "validation", "size"), [(4, 2, 1), (3, 5, 2), (1, 1, 3), (2, 1, 1)])
+def test_fold_summaries_equal_their_members(spark, first, validation, size):
+    w = run_windows(spark, 17).filter("row_id <> 'row5-1'")
+    ranked = folds.ranked_runs(folds.run_bounds(w))
+    plan = folds.FoldPlan(first, validation, size)
+    ranks = {r.run_id: r.run_rank for r in ranked.collect()}
+    members: dict = {}
+    for r in folds.fold_runs(ranked, first, validation, size).collect():
+        members.setdefault((r.fold, r.role), set()).add(ranks[r.run_id])
+    ranges = {(r.fold, r.role): set(range(r.low, r.high)) for r in folds.fold_ranges(ranked, plan).collect()}
+    assert members == ranges and len(ranges) == 3 * ((17 - first - validation) // size)
+    rows, named = [r.asDict() for r in w.collect()], {v: k for k, v in ranks.items()}
+    inside = lambda part: [r for r in rows if r["run_id"] in {named[k] for k in ranges[part]}]
+    for r in folds.fold_summary(w, ranked, plan).collect():
+        held = inside((r.fold, r.role))
+        assert (r.n, r.benign, r.attack, r.start, r.end, r.runs) == (
+            len(held), sum(1 - x["label"] for x in held), sum(x["label"] for x in held), min(x["window_start"] for x in held), max(x["window_end"] for x in held), len(ranges[r.fold, r.role]))
+    found = {(r.fold, r.role, r.scenario_id): r.n for r in folds.fold_scenario_counts(w, ranked, plan).collect()}
+    assert found == {(*part, s): n for part in ranges for s in ("sc0", "sc1", "sc2") if (n := sum(x["scenario_id"] == s for x in inside(part)))}
+
+
+def test_overlapping_parts_are_found(spark):
+    ranges = spark.createDataFrame([(0, "train", 0, 4), (0, "validation", 4, 6), (0, "test", 6, 7), (1, "train", 0, 5), (1, "validation", 4, 6), (1, "test", 6, 7)], "fold int, role string, low bigint, high bigint")
+    assert [r.fold for r in folds.overlapping_parts(ranges).collect()] == [1]
+
+
 def test_too_many_folds_fail(spark):
     with pytest.raises(Exception, match="two folds"):
         assigned(spark, folds=100).collect()
@@ -128,4 +155,4 @@ def test_leaky_columns(spark):
     names = [" Status ", "post_action_rate", "p_attack", "pkt_rate"]
     assert [r["leaky"] for r in folds.column_report(spark, names).collect()] == [True, True, True, False]
     with pytest.raises(ValueError, match="leaky"):
-        folds.runtime_features(None, ["pkt_rate", "detected_at"])
+        folds.runtime_features(run_windows(spark), ["pkt_rate", "detected_at"])

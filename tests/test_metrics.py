@@ -87,7 +87,7 @@ def test_sweep(spark):
 
 
 def draws(seed, replicates, blocks):
-    return [[int(hashlib.md5(f"{seed}|{r}|{j}".encode()).hexdigest()[:8], 16) % blocks for j in range(blocks)] for r in range(replicates)]
+    return [[int(hashlib.md5(f"{seed}|{r}|{j}".encode()).hexdigest()[:15], 16) % blocks for j in range(blocks)] for r in range(replicates)]
 
 
 def test_block_bootstrap_by_hand(spark):
