@@ -248,6 +248,16 @@ def source_inventory(spark, folder):
     return records.inventory(tables.utc(spark), folder, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "bytes")
 
 
+@R.add("a12_written_files", oracle("""SELECT coalesce(lang, 'und') AS lang, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes FROM documents GROUP BY ALL"""))
+def written_files(spark, folder):
+    """Bytes of text files, a line a document, as the inventory lists them."""
+    root = scratch_path(spark, "texts")
+    docs = tables.table(spark, folder, "documents").select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
+    docs.write.partitionBy("lang").text(root)
+    listed = records.inventory(spark, root, "*.txt")
+    return listed.groupBy(F.regexp_extract("path", r"/lang=([^/]+)/", 1).alias("lang")).agg(F.sum("bytes").alias("bytes"))
+
+
 @R.add("a13_window_sink", oracle(f"""SELECT dataset_id, scenario_id, window_start AS window_start_epoch, count(*) AS events, {sql_round({'pkt_sum': 'sum(packets)'})} FROM fl GROUP BY ALL"""))
 def window_sink(spark, folder):
     path = scratch_path(spark, "sink")

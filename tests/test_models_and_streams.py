@@ -36,6 +36,21 @@ def test_forest_separates_and_keeps_its_threshold(spark, separable):
     assert again.predict(test).agg(F.sum("probability")).first()[0] == pytest.approx(scored.agg(F.sum("probability")).first()[0])
     with pytest.raises(ValueError, match="extends"):
         models.fit_detector(test, train, trees=2)
+    # another model in the folder, another schema, an edited row
+    other, _ = models.fit_detector(train, validation, trees=3)
+    swapped = scratch_path(spark, "model")
+    models.save_detector(other, swapped)
+    other.model.write().overwrite().save(f"{path}/model")
+    with pytest.raises(ValueError, match="model files"):
+        models.load_detector(path)
+    assert models.load_detector(swapped, FEATURES).threshold == other.threshold
+    with pytest.raises(ValueError, match="feature schema"):
+        models.load_detector(swapped, FEATURES[::-1])
+    row = spark.read.parquet(f"{swapped}/registry").withColumn("metadata", F.regexp_replace("metadata", '"threshold":', '"threshold":1')).cache()
+    row.count()
+    row.write.mode("overwrite").parquet(f"{swapped}/registry")
+    with pytest.raises(ValueError, match="does not match its hash"):
+        models.load_detector(swapped)
 
 
 def test_soft_logistic_minimizes_its_objective(spark):
