@@ -178,24 +178,33 @@ def receiver_reports(spark, folder):
 
 @R.add("a7_trial_rows", oracle(f"""SELECT run_id, window_index, {sql_round({'benign_receiver_mbps': 'bm', 'benign_loss_percent': 'bl', 'attack_receiver_mbps': "CASE WHEN n > 0 AND n = ok THEN am WHEN att = 0 THEN 0 END"})},
       coalesce(bs, 'unavailable: no report') AS benign_measurement_status, CASE WHEN n > 0 AND n = ok THEN 'ok' WHEN att = 0 THEN 'no_attack_scheduled' ELSE 'unavailable' END AS attack_measurement_status
-      FROM (SELECT run_id, window_index, label AS att FROM gw) LEFT JOIN (SELECT run_id, window_index, max(receiver_mbps) FILTER (src_ip = '10.0.0.1') AS bm, max(loss_percent) FILTER (src_ip = '10.0.0.1') AS bl,
-        max(status) FILTER (src_ip = '10.0.0.1') AS bs, count(*) FILTER (src_ip IN ('10.0.0.2', '10.0.0.3')) AS n, count(*) FILTER (src_ip IN ('10.0.0.2', '10.0.0.3') AND status = 'ok') AS ok,
-        sum(receiver_mbps) FILTER (src_ip IN ('10.0.0.2', '10.0.0.3')) AS am FROM rp GROUP BY ALL) USING (run_id, window_index)""", rp=_REPORT_SQL))
+      FROM (SELECT run_id, window_index, label AS att FROM gw) LEFT JOIN (SELECT run_id, window_index, max(receiver_mbps) FILTER (o < 2) AS bm, max(loss_percent) FILTER (o < 2) AS bl,
+        max(status) FILTER (o < 2) AS bs, count(*) FILTER (o >= 2) AS n, count(*) FILTER (o >= 2 AND status = 'ok') AS ok,
+        sum(receiver_mbps) FILTER (o >= 2) AS am FROM (SELECT *, CAST(split_part(src_ip, '.', 4) AS INTEGER) AS o FROM rp) GROUP BY ALL) USING (run_id, window_index)""", rp=_REPORT_SQL))
 def trial_rows(spark, folder):
-    role = F.when(F.col("src_ip") == "10.0.0.1", "benign").when(F.col("src_ip").isin("10.0.0.2", "10.0.0.3"), "attack")
-    reports = _reports(spark, folder).withColumn("role", role).filter("role IS NOT NULL")
+    # two of the twelve sources are clients, all others are attackers
+    role = F.when(F.split("src_ip", r"\.")[3].cast("int") < 2, "benign").otherwise("attack")
+    reports = _reports(spark, folder).withColumn("role", role)
     w = tables.gate_windows(spark, folder).select("run_id", "window_index", F.col("label").cast("double").alias("scheduled_attack_mbps"))
     return rounded(records.trial_rows(w, reports, ["run_id", "window_index"]).select(
         "run_id", "window_index", "benign_receiver_mbps", "benign_loss_percent", "attack_receiver_mbps", "benign_measurement_status", "attack_measurement_status"))
 
 
-@R.add("a8_calibration_collection", oracle("""SELECT CAST(seed AS INTEGER) AS seed, coalesce(n, 0) AS windows, coalesce(n = 8 AND mn = 0 AND mx = 7 AND d = 8, false) AS complete, coalesce(a = 0, false) AS unenforced
-      FROM range(1, 32) t(seed) FULL JOIN (SELECT seed, count(*) AS n, min(window_index) AS mn, max(window_index) AS mx, count(DISTINCT window_index) AS d, count(*) FILTER (action <> 'NONE') AS a
-      FROM ti WHERE setting = CASE WHEN seed % 5 = 0 THEN 'audit_enabled' ELSE 'mitigation_disabled' END AND NOT (seed = 7 AND window_index = 3) GROUP BY seed) USING (seed)"""))
+@R.add("a8_calibration_collection", oracle("""SELECT setting, CAST(seed AS INTEGER) AS seed, coalesce(n, 0) AS windows, coalesce(n = 8 AND mn = 0 AND mx = 7 AND d = 8, false) AS complete, coalesce(a = 0, false) AS unenforced
+      FROM (SELECT setting, unnest(range(1, 32)) AS seed FROM (SELECT DISTINCT setting FROM ti)) FULL JOIN (SELECT setting, seed, count(*) AS n, min(window_index) AS mn, max(window_index) AS mx, count(DISTINCT window_index) AS d,
+      count(*) FILTER (action <> 'NONE') AS a FROM ti WHERE NOT (seed = 7 AND window_index = 3) GROUP BY setting, seed) USING (setting, seed)"""))
 def calibration_collection(spark, folder):
-    wanted = F.when(F.col("seed") % 5 == 0, "audit_enabled").otherwise("mitigation_disabled")
-    t = tables.trials(spark, folder).filter((F.col("setting") == wanted) & ~((F.col("seed") == 7) & (F.col("window_index") == 3)))
-    return records.calibration_report(t, 8, (1, 31))
+    t = tables.trials(spark, folder).filter(~((F.col("seed") == 7) & (F.col("window_index") == 3)))
+    return records.calibration_report(t, 8, (1, 31), ["setting"])
+
+
+@R.add("a8_source_truth", oracle("SELECT run_id, source_ip, is_attacker FROM (SELECT DISTINCT run_id, source_ip FROM ob) JOIN tr USING (source_ip)"))
+def source_truth(spark, folder):
+    """Roles as a trial saves them, one JSON object a run, and read back."""
+    o = tables.observations(spark, folder).select("run_id", "source_ip").distinct().join(tables.truth(spark, folder), "source_ip")
+    member = F.concat(F.lit('"'), F.col("source_ip"), F.lit('": '), F.col("is_attacker").cast("string"))
+    texts = o.groupBy("run_id").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(member), ", "), F.lit("}")).alias("truth"))
+    return records.truth_rows(texts, ["run_id"])
 
 
 @R.add("a8_source_observations", oracle("SELECT run_id, window_index, source_ip, packets, bytes, duration_seconds FROM ob"))

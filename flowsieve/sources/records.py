@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,20 +171,79 @@ def truth_rows(texts: DataFrame, keys: Sequence[str], column: str = "truth") ->
     return texts.select(*keys, F.explode(parsed).alias("source_ip", "is_attacker"))
 
 
-def calibration_report(windows: DataFrame, expected_windows: int, seeds: tuple[int, int]) -> DataFrame:
-    """Completeness, order and absence of enforcement per seed; missing seeds appear with zero windows."""
+def calibration_report(windows: DataFrame, expected_windows: int, seeds: tuple[int, int], by: Sequence[str] = ()) -> DataFrame:
+    """Completeness, order and absence of enforcement per seed, and per value of ``by``; missing seeds appear with zero windows."""
     from flowsieve.operators.gate import index_report
 
-    spark = windows.sparkSession
-    wanted = spark.range(seeds[0], seeds[0] + seeds[1]).select(F.col("id").cast("int").alias("seed"))
-    acted = windows.groupBy("seed").agg(F.count_if(F.col("action") != "NONE").alias("_acted"))
-    seen = index_report(windows, ["seed"]).join(acted, "seed")
-    return wanted.join(seen, "seed", "full").select(
-        "seed", F.coalesce("windows", F.lit(0)).alias("windows"),
+    keys = [*by, "seed"]
+    groups = windows.select(*by).distinct() if by else windows.sparkSession.range(1).select()
+    wanted = groups.withColumn("seed", F.explode(F.sequence(F.lit(seeds[0]), F.lit(seeds[0] + seeds[1] - 1))))
+    acted = windows.groupBy(*keys).agg(F.count_if(F.col("action") != "NONE").alias("_acted"))
+    seen = index_report(windows, keys).join(acted, keys)
+    return wanted.join(seen, keys, "full").select(
+        *keys, F.coalesce("windows", F.lit(0)).alias("windows"),
         F.coalesce((F.col("windows") == expected_windows) & F.col("consecutive"), F.lit(False)).alias("complete"),
         F.coalesce(F.col("_acted") == 0, F.lit(False)).alias("unenforced"))
 
 
+@dataclass(frozen=True)
+class Collection:
+    """A verified collection: windows, observations and roles of its trials, keyed by seed, and the detector that made its predictions."""
+
+    windows: DataFrame
+    observations: DataFrame
+    truth: DataFrame
+    detector_hash: str
+
+
+def read_collection(spark: SparkSession, root: str, stage: str, protocol: dict, setting: str = "mitigation_disabled") -> Collection:
+    """The trials of one stage of a protocol, after all that must hold for fitting has been checked again.
+
+    Errors: a configuration of another stage or protocol, a verification that is missing, failed or of another stage, a file that is missing, new
+    or changed since, a seed that is missing or extra, windows that are incomplete, out of order or enforced. Only the two single-record
+    files and single verdicts reach the driver.
+    """
+    from flowsieve.operators.integrity import compact_json, manifest_check, manifest_lines
+
+    def record(name: str) -> dict:
+        found = spark.read.text(f"{root}/{name}", wholetext=True).first()
+        if found is None:
+            raise ValueError(f"{name} is empty")
+        return json.loads(found["value"])
+
+    config, report = record("run_configuration.json"), record("verification_v3.json")
+    if config.get("stage") != stage or config.get("protocol_hash") != hashlib.sha256(compact_json(protocol).encode()).hexdigest():
+        raise ValueError("another stage or protocol")
+    if not report.get("passed") or report.get("stage") != stage:
+        raise ValueError("the collection is not verified for this stage")
+    top = f"/{root.rstrip('/').rpartition('/')[2]}/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
+        F.substring_index("path", top, -1).alias("name"), F.sha2("content", 256).alias("sha256")).filter(~F.col("name").isin("verification_v3.json", "CHECKSUMS.sha256"))
+    listed = manifest_lines(spark.read.text(f"{root}/CHECKSUMS.sha256").withColumnRenamed("value", "line"))
+    wrong = manifest_check(listed, files.withColumns({"sha256_lf": F.col("sha256"), "sha256_crlf": F.col("sha256")})).filter("status <> 'ok'").first()
+    if wrong is not None:
+        raise ValueError(f"{wrong['name']} is {wrong['status']} since the collection was verified")
+    windows, _ = read_trial_tree(spark, root)
+    kept = windows.filter(F.col("trial") == F.format_string(f"seed_%08d_{setting}", "seed"))
+    part, traffic = protocol[stage], protocol["traffic"]
+    expected = sum(traffic[k] for k in ("benign_windows", "attack_windows", "recovery_windows"))
+    bad = calibration_report(kept, expected, (part["seed_start"], part["runs"])).filter(
+        ~F.col("complete") | ~F.col("unenforced") | ~F.col("seed").between(part["seed_start"], part["seed_start"] + part["runs"] - 1)).first()
+    if bad is not None:
+        raise ValueError(f"seed {bad['seed']}: {bad['windows']} windows, complete {bad['complete']}, unenforced {bad['unenforced']}")
+
+    def texts(name: str, column: str, levels: int) -> DataFrame:
+        path = F.col("_metadata.file_path")
+        found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
+        seed = F.regexp_extract(cleaning.ancestor(path, levels), r"^seed_(\d+)_", 1).cast("int")
+        return found.select(seed.alias("seed"), F.regexp_extract(path, r"window_(\d+)/[^/]+$", 1).try_cast("int").alias("window_index"), F.col("value").alias(column)).join(
+            kept.select("seed").distinct(), "seed", "left_semi")
+
+    return Collection(
+        kept, explode_observations(texts("source_observations.json", "observations", 2), ["seed", "window_index"]),
+        truth_rows(texts("source_truth.json", "truth", 1), ["seed"]), config["detector_model_hash"])
+
+
 def window_contract(windows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """One report row: duplicates, runs, seeds, bad features, classes and bad bounds."""
     bad = F.lit(0)
