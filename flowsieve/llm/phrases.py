@@ -24,7 +24,7 @@ from flowsieve.llm.transducer import Phrases, Transducer, packed, unpacked
 from flowsieve.session import written
 
 #: Bytes of text in a shard; phrases of all shards in a range that one task may unite; bits of the first cut and of each further one.
-SHARD_BYTES, TARGET, FIRST_BITS, MORE_BITS = 8_000_000, 4_000_000, 6, 4
+SHARD_BYTES, TARGET, FIRST_BITS, MORE_BITS = 5_000_000, 4_000_000, 6, 4
 #: Least count of a candidate; a longer candidate with this share of its count covers it; rows given out for a language.
 LEAST, SHARE, TOP = 10, 50, 2000
 # fixed values: what ends a piece, and the blanks between words
