@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.functions import cleaning
@@ -82,20 +81,20 @@ def _label_columns(attack: Column, target: Column, other: Column, rows: Column)
     }
 
 
-def labelled_flow_windows(flows: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
-    """Features of normalized flow rows per ``keys`` and window start, and beside them the window's labels."""
+def labelled_flow_windows(flows: DataFrame, keys: Sequence[str], seconds: int, carried: Sequence[str] = ()) -> DataFrame:
+    """Features of normalized flow rows per ``keys`` and window start, and beside them the window's labels and the sums of ``carried``."""
     by = [*keys, "window_start_epoch"]
     source = F.when(F.col("src").isin("", "-"), F.lit(None)).otherwise(F.col("src"))
     rows = flows.select(
         *keys, cleaning.window_floor(F.col("ts_epoch"), seconds).alias("window_start_epoch"), source.alias("src"), "packets", "bytes",
-        "is_attack", "is_target", "is_other", F.when(F.col("label_text") != "", F.col("label_text")).alias("label_text"))
-    marks = ["is_attack", "is_target", "is_other"]
+        "is_attack", "is_target", "is_other", F.when(F.col("label_text") != "", F.col("label_text")).alias("label_text"), *carried)
+    marks = ["is_attack", "is_target", "is_other", *carried]
     counts = source_counts(
         rows, by, "src", {"_pkt": F.col("packets"), "_byte": F.col("bytes")}, {**{c: F.sum(c) for c in marks}, "_texts": F.collect_set("label_text")})
     totals = window_totals(counts, by, ["_pkt", "_byte"], {**{c: F.sum(c) for c in marks}, "label_types": _text_sets("_texts", ";")})
-    labels = _label_columns(*[F.col(c) for c in marks], F.col("_events"))
+    labels = _label_columns(*[F.col(c) for c in marks[:3]], F.col("_events"))
     return _features(totals, by, seconds, F.col("_events"), [
-        *[c.alias(n) for n, c in labels.items()], F.col("_events").alias("raw_rows"), F.col("label_types")])
+        *[c.alias(n) for n, c in labels.items()], F.col("_events").alias("raw_rows"), F.col("label_types"), *[F.col(c) for c in carried]])
 
 
 def flow_window_labels(flows: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
@@ -118,12 +117,12 @@ def flow_window_labels(flows: DataFrame, keys: Sequence[str], seconds: int) -> D
     return merged.select(*by, *[c.alias(n) for n, c in labels.items()], "raw_rows", "label_types")
 
 
-def flow_windows(flows: DataFrame, seconds: int = 5, *, merge_files: bool = False) -> DataFrame:
-    """The external window table: per source file, or merged over all files of a scenario."""
+def flow_windows(flows: DataFrame, seconds: int = 5, *, merge_files: bool = False, carried: Sequence[str] = ()) -> DataFrame:
+    """The external window table: per source file, or merged over all files of a scenario; ``carried`` adds sums of further columns."""
     keys = ["dataset_id", "scenario_id", "timestamp_basis"]
     if not merge_files:
         keys = [*keys, "source_file"]
-    table = labelled_flow_windows(flows, keys, seconds)
+    table = labelled_flow_windows(flows, keys, seconds, carried)
     if merge_files:
         table = table.withColumn("source_file", F.lit("multiple_scenario_logs; see source_files.csv"))
     basis = F.col("timestamp_basis")
@@ -132,7 +131,7 @@ def flow_windows(flows: DataFrame, seconds: int = 5, *, merge_files: bool = Fals
         "window_start_ts": cleaning.rendered_time(F.col("window_start_epoch"), basis),
         "window_end_ts": cleaning.rendered_time(F.col("window_start_epoch") + seconds, basis),
         "measurement_type": F.lit("offline_flow_derived_diagnostic"),
-    }).select(*WINDOW_COLUMNS)
+    }).select(*WINDOW_COLUMNS, *carried)
 
 
 def _start(df: DataFrame, seconds: int) -> Column:
@@ -243,25 +242,17 @@ def ingest_statistics(normalized: DataFrame) -> DataFrame:
 
 
 def ingest(normalized: DataFrame, path: str, seconds: int = 5, *, merge_files: bool = False) -> dict[str, int]:
-    """Write one dataset's windows to ``path`` and count in the same pass: rows, dropped times, bad numbers, windows, windows by label.
+    """Write one dataset's windows below ``path`` and count rows, dropped times, bad numbers, windows and windows by label.
 
-    The counts are metrics of the write itself (``DataFrame.observe``), so nothing is read twice. A dataset without rows counts 0.
+    The source is read once: bad numbers are summed along with the features, and rows without a usable time are a group without a window. Windows
+    lie in ``usable=true``, those groups in ``usable=false``; the counts are sums over four columns of what was written. A dataset without rows counts 0.
     """
-    read, made = Observation("read"), Observation("made")
-    time = F.col("ts_epoch").isNotNull()
-    rows = normalized.observe(
-        read, F.count(F.lit(1)).alias("raw_rows"), F.count_if(~time).alias("dropped_bad_timestamps"),
-        F.sum(F.when(time, F.col("bad_numbers")).otherwise(0)).alias("numeric_coercions"))
-    table = flow_windows(rows.filter(time).drop("bad_numbers"), seconds, merge_files=merge_files).observe(
-        made, F.count(F.lit(1)).alias("windows"), F.count_if(F.col("label") == 0).alias("windows_label_0"), F.count_if(F.col("label") == 1).alias("windows_label_1"))
-    table.write.mode("errorifexists").parquet(path)
-    return {**_observed(read, ["raw_rows", "dropped_bad_timestamps", "numeric_coercions"]), **_observed(made, ["windows", "windows_label_0", "windows_label_1"])}
-
-
-def _observed(metrics: Observation, names: Sequence[str]) -> dict[str, int]:
-    """The metrics of a write that has succeeded; where the optimizer saw that a table is empty it took the metrics away with it."""
-    try:
-        found = metrics.get
-    except Py4JJavaError:
-        found = {}
-    return {name: int(found.get(name) or 0) for name in names}
+    table = flow_windows(normalized, seconds, merge_files=merge_files, carried=["bad_numbers"])
+    table.withColumn("usable", F.col("window_start_epoch").isNotNull()).write.partitionBy("usable").mode("errorifexists").parquet(path)
+    spark = normalized.sparkSession
+    made = spark.read.schema(f"raw_rows bigint, label int, bad_numbers {dict(table.dtypes)['bad_numbers']}, usable boolean").parquet(path)
+    usable = F.col("usable")
+    row = made.agg(
+        F.sum("raw_rows").alias("raw_rows"), F.sum(F.when(~usable, F.col("raw_rows"))).alias("dropped_bad_timestamps"), F.sum(F.when(usable, F.col("bad_numbers"))).alias("numeric_coercions"),
+        F.count_if(usable).alias("windows"), F.count_if(usable & (F.col("label") == 0)).alias("windows_label_0"), F.count_if(usable & (F.col("label") == 1)).alias("windows_label_1")).first()
+    return {name: int(value or 0) for name, value in row.asDict().items()}

@@ -219,11 +219,11 @@ def test_last_running_row_equals_completed_window(spark, rows):
         assert {k: pytest.approx(v) for k, v in a.items() if k != "switch_id"} == {k: v for k, v in b.items() if k != "switch_id"}
 
 
-def test_ingest_counts_in_the_write(spark, tmp_path):
+def test_ingest_reads_its_source_once(spark, tmp_path):
     flows = spark.createDataFrame(
         [("d", "s", "f", t, 1.0, 2.0, src, a, a, 0, "x" if a else "benign", "unix_utc", bad) for t, src, a, bad in [(1.0, "a", 0, 0), (2.0, "b", 1, 2), (7.0, "a", 0, 1), (None, "a", 1, 5), (11.0, "", 0, 0)]],
         "dataset_id string, scenario_id string, source_file string, ts_epoch double, packets double, bytes double, src string, is_attack int, is_target int, is_other int, label_text string, timestamp_basis string, bad_numbers int")
     counts = windows.ingest(flows, f"{tmp_path}/w")
     assert counts == {"raw_rows": 5, "dropped_bad_timestamps": 1, "numeric_coercions": 3, "windows": 3, "windows_label_0": 2, "windows_label_1": 1}
-    assert spark.read.parquet(f"{tmp_path}/w").count() == 3
+    assert spark.read.parquet(f"{tmp_path}/w/usable=true").count() == 3
     assert set(windows.ingest(flows.limit(0), f"{tmp_path}/e").values()) == {0}
