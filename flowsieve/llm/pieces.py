@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from flowsieve.llm.common import small_slices
 from flowsieve.llm.tokens import tokenizer_path
 
 MARK = "▁"
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 700_000, 48
 UNKNOWN_PENALTY = 10.0
 
 
@@ -63,12 +65,14 @@ class Pieces:
             crossed = {c for n in self.ids for c in re.findall(f"(?<=[{letter}])[!-/:-@]", n)}
             marks = re.escape("".join(sorted({*map(chr, range(33, 65))} - set("0123456789") - crossed))) or "\\x00"
             self.segment = re.compile(f"{MARK}*[^{MARK}{marks}{letter}]*[{letter}]+(?=[{marks}])|{MARK}*[^{MARK}]+|{MARK}+")
-        lengths: dict[str, set[int]] = {}
-        for n in self.ids:
-            lengths.setdefault(n[:2], set()).add(len(n))
-        # lengths of the pieces that begin with one or two given characters, short ones first
-        self.lengths = {k: tuple(sorted(v | lengths.get(k[0], set()))) for k, v in lengths.items()}
-        self.known: dict[str, bytes] = vars(sentencepiece).setdefault("_met_segments", {}).setdefault(path, {})
+        # character -> (the piece that ends here or None, the characters that may follow)
+        self.trie: dict[str, tuple] = {}
+        for n in sorted(self.ids):
+            node = self.trie
+            for c in n[:-1]:
+                node = node.setdefault(c, (None, {}))[1]
+            node[n[-1]] = (n, {})
+        self.known: dict[str, bytes] = {}
 
     def normalized(self, text: str) -> str:
         text = text.replace(" ", MARK)
@@ -85,37 +89,40 @@ class Pieces:
         return parts
 
     def together(self, left: str, right: str) -> bool:
-        found = self.fits.get((left, right))
-        if found is None:
-            if len(self.fits) > REMEMBERED:
-                self.fits.clear()
-            found = self.fits[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        """Whether the merges of the two alone leave them as they are; an empty left side asks for the right one alone."""
+        if len(self.fits) > REMEMBERED:
+            self.fits.clear()
+        found = self.fits[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
     def stream(self, chars: str) -> Iterator[int]:
         """Ids of a normalized text, given out as soon as they are final."""
         reach, size, done = self.longest, len(chars), 0
         best: dict[int, tuple[float, int, str | None]] = {0: (0.0, -1, None)}
-        scores, lengths, bpe = self.scores, self.lengths, self.bpe
+        scores, trie, fits, bpe = self.scores, self.trie, self.fits, self.bpe
         for at in range(size):
             if at not in best:
                 continue
             score, _, last = best[at]
             if chars[at] not in scores and (at + 1 not in best or best[at + 1][0] < score + self.lowest):
                 best[at + 1] = (score + self.lowest, at, None)
-            for length in lengths.get(chars[at:at + 2]) or lengths.get(chars[at], ()):
-                end = at + length
-                if end > size:
+            follow, end, left = trie, at, last or ""
+            for c in chars[at:at + reach]:
+                step = follow.get(c)
+                if step is None:
                     break
-                piece = chars[at:end]
-                own = scores.get(piece)
-                if own is None:
+                piece, follow = step
+                end += 1
+                if piece is None:
                     continue
                 if bpe:
-                    if end not in best and self.together(last or "", piece):
+                    if end in best:
+                        continue
+                    fit = fits.get((left, piece))
+                    if self.together(left, piece) if fit is None else fit:
                         best[end] = (0.0, at, piece)
-                elif end not in best or best[end][0] < score + own:
-                    best[end] = (score + own, at, piece)
+                elif end not in best or best[end][0] < score + scores[piece]:
+                    best[end] = (score + scores[piece], at, piece)
             if at - done >= 2 * reach:
                 done = yield from self._commit(best, chars, done, at)
         yield from self._emit(best, chars, done, size)
@@ -151,22 +158,32 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
-        for segment in self.segment.findall(self.normalized(text)):
-            ids = known.get(segment)
-            if ids is None:
-                ids = np.fromiter(self.stream(segment), "<u4").tobytes()
-                if len(segment) <= LONGEST and len(known) < REMEMBERED:
-                    known[segment] = ids
-            out.append(ids)
+        known, segments = self.known, self.segment.findall(self.normalized(text))
+        out = list(map(known.get, segments))
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None:
+                    out[k] = known.get(segments[k]) or self._met(segments[k])
         return b"".join(out)
 
+    def _met(self, segment: str) -> bytes:
+        ids = array("I", self.stream(segment)).tobytes()
+        if len(segment) <= LONGEST and len(self.known) < REMEMBERED:
+            self.known[segment] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         parts = [self.of_byte[i] if i in self.of_byte else b"" if self.special[i] and i != self.unknown else (" ⁇ " if i == self.unknown else self.names[i]).encode() for i in ids]
         text = b"".join(parts).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+@lru_cache(2)
+def loaded(path: str) -> Pieces:
+    """A worker's model: it outlives the task, so the next task starts with what this one has met."""
+    return Pieces(path)
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())])
 
 
@@ -174,7 +191,7 @@ def _encode(path: str, with_ids: bool):
     schema = _OUT.append(pa.field("ids", pa.binary())) if with_ids else _OUT
 
     def run(batches):
-        pieces = Pieces(path)
+        pieces = loaded(path)
         names = np.array([(pieces.of_byte.get(i) or b"") if s else n.encode() for i, (n, s) in enumerate(zip(pieces.names, pieces.special))], object)
         for batch in batches:
             for part in small_slices(batch, 1):
@@ -206,7 +223,7 @@ def decoded(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path:
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches):
-        pieces = Pieces(model)
+        pieces = loaded(model)
         for batch in batches:
             texts = [pieces.decode(np.frombuffer(i or b"", "<u4").tolist()) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": texts}, schema=schema)
