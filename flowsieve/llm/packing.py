@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve.llm.common import small_slices
-from flowsieve.llm.tokens import END_ID, Encoder, tokenizer_path
+from flowsieve.llm.tokens import END_ID, encoder, tokenizer_path
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ def _pack(path: str, limits: Limits, pool: int, with_ids: bool):
     schema = _PIECES.append(pa.field("ids", pa.binary())) if with_ids else _PIECES
 
     def run(batches):
-        encode, packer, held = Encoder(path), Packer(limits, pool), {}
+        encode, packer, held = encoder(path), Packer(limits, pool), {}
         first, number = TaskContext.get().partitionId() << 40, 0
 
         def placed(found):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm.common import small_slices
-from flowsieve.llm.tokens import END_ID, Encoder, tokenizer_path
+from flowsieve.llm.tokens import END_ID, encoder, tokenizer_path
 
 VOCABULARY = 50_257
 BLOCK = 65_536
@@ -57,7 +57,7 @@ def _write_blocks(path: str, vocabulary: int, size: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, shard = Encoder(path), TaskContext.get().partitionId()
+        encode, shard = encoder(path), TaskContext.get().partitionId()
         held, docs, block, first, total = np.empty(0, "<u4"), [], 0, 0, 0
 
         def cut(last: bool):
