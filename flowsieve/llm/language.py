@@ -12,14 +12,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from flowsieve.llm.common import small_slices
 from flowsieve.llm.crf import Crf, fit, marginals
 
-#: The fit's bound: documents for each language, and the longest text among them unless a language has none so short.
+#: The fit's bound: documents for each language, and the longest text among them. A language with under 20 texts so short
+#: gives a tenth as many, of any length, each read up to ten times that length.
 PER_LANGUAGE, SAMPLE_CHARS, SEQUENCES, BUCKETS = 300, 4_000, 6_000, 1 << 16
 _WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 400_000
@@ -77,24 +78,29 @@ def _held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """At most ``PER_LANGUAGE`` training texts for each language, chosen by a hash of the id."""
+    """At most ``PER_LANGUAGE`` training texts for each language, chosen by a hash of id and text.
+
+    Rows that repeat an id are told apart by their text; rows that repeat both count once. No language gives more than
+    ``PER_LANGUAGE * SAMPLE_CHARS`` characters.
+    """
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(~_held_out(F.col("doc_id")))
-    rows = rows.select("doc_id", "text", "lang", F.length("text").alias("size"), F.xxhash64(F.lit(10), "doc_id").alias("rank"))
-    found = rows.groupBy("lang").agg(F.count_if(F.col("size") <= SAMPLE_CHARS).alias("short"), F.count(F.lit(1)).alias("all")).collect()
+    rows = rows.select("text", "lang", F.length("text").alias("size"), F.xxhash64(F.lit(10), "doc_id", "text").alias("rank"))
+    short = F.col("size") <= SAMPLE_CHARS
+    found = rows.groupBy("lang").agg(F.approx_count_distinct(F.when(short, F.col("rank"))).alias("short"), F.approx_count_distinct("rank").alias("all")).collect()
     if not found:
         return {}
-    top, wanted = 2**63 - 1, F.lit(False)
+    top, wanted = 2**63 - 1, F.lit(0)
     for r in found:
-        # three times the bound is asked for, so the hash's spread does not leave too few
+        # three times the bound is asked for, so neither the hash's spread nor the count's error leaves too few
         n, most = (r["short"], PER_LANGUAGE) if r["short"] >= 20 else (r["all"], PER_LANGUAGE // 10)
-        limit = min(top, -top + int(2 * top * min(1.0, 3 * most / n)))
-        own = (F.col("lang") == r["lang"]) & (F.col("rank") <= limit)
-        wanted = wanted | (own & (F.col("size") <= SAMPLE_CHARS) if r["short"] >= 20 else own)
+        own = (F.col("lang") == r["lang"]) & (F.col("rank") <= min(top, -top + int(2 * top * min(1.0, 3 * most / n))))
+        wanted = F.when(own & short if r["short"] >= 20 else own, most).otherwise(wanted)
+    asked = rows.withColumn("most", wanted).where("most > 0").groupBy("lang", "rank", "most").agg(
+        F.min(F.substring("text", 1, 10 * SAMPLE_CHARS)).alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
     texts: dict[str, list[str]] = {r["lang"]: [] for r in found}
-    bound = {r["lang"]: PER_LANGUAGE if r["short"] >= 20 else PER_LANGUAGE // 10 for r in found}
-    for r in sorted(rows.where(wanted).select("rank", "doc_id", "lang", "text").collect()):
-        if len(texts[r["lang"]]) < bound[r["lang"]]:
-            texts[r["lang"]].append(r["text"])
+    for r in sorted(asked.withColumn("place", place).where("place <= most").select("lang", "rank", "text").collect()):
+        texts[r["lang"]].append(r["text"])
     return texts
 
 

@@ -54,6 +54,21 @@ def test_added_tokens_keep_their_ids(name):
     assert [np.frombuffer(i, "<u4").tolist() for i in encode(texts)] == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_memo_bounds_change_no_ids(monkeypatch):
+    monkeypatch.setattr("flowsieve.llm.tokens.REMEMBERED", 5)
+    monkeypatch.setattr("flowsieve.llm.tokens.TOGETHER", 3)
+    path = tokenizer_path("byte_bpe_50k.json")
+    encode = Encoder(path)
+    texts = [" ".join(f"w{k * j % 17}" for k in range(12)) for j in range(8)] + ["x" * 100, ""]
+    own = [_ids(path, t)[:-1].tolist() for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in encode(texts)] == own and len(encode.known) == 5
+    encode.between = None
+    assert [np.frombuffer(i, "<u4").tolist() for i in encode(texts)] == own
+    with pytest.raises(TypeError):
+        encode(["unseen words", None])
+    assert not encode.known and np.frombuffer(encode(["unseen words"])[0], "<u4").tolist() == _ids(path, "unseen words")[:-1].tolist()
+
+
 def test_pieces_are_the_librarys(docs, none, spark):
     import sentencepiece
 
@@ -315,6 +330,30 @@ def test_language(spark, docs, none, rows):
     assert [crf.labels[i] for i in p.argmax(1)] == ["en"] * 4 + ["de"] * 4
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "PER_LANGUAGE", 40)
+    # one id a thousand times, one row a thousand times, a language of long texts alone
+    table = [(3, f"the {k}", "en") for k in range(1000)] + [(4, "the and", "en")] * 1000 + [(k, f"of {k}", "en") for k in range(100)]
+    table += [(k, "der die " * 30_000, "de") for k in range(30)]
+    texts = language.sample(spark.createDataFrame(table, "doc_id bigint, text string, lang string"))
+    assert len(texts["en"]) == len(set(texts["en"])) == 40 and any(t.startswith("of ") for t in texts["en"])
+    assert len(texts["de"]) == 4 and {len(t) for t in texts["de"]} == {10 * language.SAMPLE_CHARS}
+
+
+def test_marginals_are_those_of_all_labellings():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    score, crf = rng.normal(size=(5, 3)), language.Crf(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    paths = list(itertools.product(range(3), repeat=5))
+    total = np.array([crf.start[p[0]] + sum(score[k, y] for k, y in enumerate(p)) + sum(crf.moves[a, b] for a, b in zip(p, p[1:])) for p in paths])
+    weight = np.exp(total) / np.exp(total).sum()
+    expected = np.array([[sum(w for w, p in zip(weight, paths) if p[k] == y) for y in range(3)] for k in range(5)])
+    gamma, _ = language.marginals(np.exp(score - score.max(1, keepdims=True)), np.array([5]), crf)
+    assert np.allclose(gamma, expected)
+    assert list(html_extract.viterbi(score, crf)) == list(paths[int(total.argmax())])
+
+
 def test_pipeline(spark, none, tmp_path):
     import corpus_pipeline
 
