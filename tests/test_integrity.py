@@ -218,3 +218,18 @@ def test_verification_joins_no_lines(spark):
     text = integrity.chain_checks(chain(spark, 20))._jdf.queryExecution().executedPlan().toString()
     # the only join brings the carried values, by slice
     assert text.count("Join") <= 1 and "_slice" in text[text.index("Join"):][:200]
+
+
+def test_build_links_all_records_of_a_run(spark):
+    """One genesis a run: a chain is not cut up by source."""
+    from flowsieve.plans import integrity_queries, tables
+
+    folder = "/root/testdata/sf0.001"
+    lines = integrity_queries.chain_build(spark, folder).collect()
+    runs = {r.run_id: r.n for r in tables.events(spark, folder).groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_run = {}
+    for r in sorted(lines, key=lambda r: r.seq):
+        by_run.setdefault(r.chain_id, []).append(json.loads(r.raw))
+    assert {c: len(rs) for c, rs in by_run.items()} == runs
+    for rs in by_run.values():
+        assert [r["prev_hash"] for r in rs] == [integrity.GENESIS, *(r["record_hash"] for r in rs[:-1])]
