@@ -9,15 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.ordering import SLICE, running, sliced
 from flowsieve.functions.quantiles import exact_quantiles
 from flowsieve.operators import curves, metrics
+from flowsieve.session import written
 
-#: Rows of one block that one task may join; blocks with more are salted. Draws are dealt out by ranges of SPAN.
-HEAVY, SPAN = 100_000, 1 << 20
+#: Histogram rows of one slice, about; draws are dealt out by ranges of SPAN.
+HEAVY, SPAN = 20_000, 1 << 20
+#: A task multiplies a slice by at most WIDTH replicates and holds at most CELLS of blocks by replicates, BATCH rows at a time.
+WIDTH, CELLS, BATCH = 500, 10_000_000, 2_000
 CLUSTER_METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "fpr", "fnr", "benign_damage", "reward_mean"]
 
 
@@ -66,8 +72,11 @@ def resampled(numbered: DataFrame, by: Sequence[str], values: Sequence[str], rep
     With few blocks the draws are small and Spark broadcasts them; with many blocks
     the join key has many values and shuffles evenly.
     """
-    times = multiplicities(numbered, replicates, seed)
-    return numbered.join(times, ["blocks", "block"]).groupBy(*by, "replicate").agg(
+    return _weighted(numbered, by, values, multiplicities(numbered, replicates, seed))
+
+
+def _weighted(blocks: DataFrame, by: Sequence[str], values: Sequence[str], times: DataFrame) -> DataFrame:
+    return blocks.join(times, ["blocks", "block"]).groupBy(*by, "replicate").agg(
         *[F.sum(F.col(v) * F.col("times")).alias(v) for v in values])
 
 
@@ -98,36 +107,90 @@ def cluster_intervals(
 ) -> DataFrame:
     """Strict metrics, both areas and the mean utility of resampled clusters."""
     numbered = numbered_blocks(metrics.confusion(df, [*by, *cluster]), by, cluster)
-    merged = resampled(numbered, by, metrics.COUNTS, replicates, seed)
-    times = multiplicities(numbered, replicates, seed)
+    times = written(multiplicities(numbered, replicates, seed), "times")
+    merged = _weighted(numbered, by, metrics.COUNTS, times)
     plain = metrics.strict_metrics(merged).withColumn("reward_mean", F.try_divide(metrics.utility_from_counts(), F.col("n")))
-    ranked = _resampled_areas(df, by, cluster, numbered, times)
+    ranked = _resampled_areas(df, by, cluster, numbered, times, replicates)
     return intervals(plain.join(ranked, [*by, "replicate"]), by, CLUSTER_METRICS)
 
 
-def _resampled_areas(df: DataFrame, by: Sequence[str], cluster: Sequence[str], numbered: DataFrame, times: DataFrame) -> DataFrame:
-    histogram = curves.score_histogram(df, [*by, *cluster]).join(numbered.select(*by, *cluster, "block", "blocks"), [*by, *cluster])
+def _resampled_areas(df: DataFrame, by: Sequence[str], cluster: Sequence[str], numbered: DataFrame, times: DataFrame, replicates: int) -> DataFrame:
+    """Both areas of every replicate.
+
+    A task takes one slice of the scores and some replicates, the counts before that slice and how often each of its blocks is
+    drawn; scores are multiplied out by replicates in its memory only, a few at a time, and two sums a replicate leave it.
+    """
+    histogram = written(curves.score_histogram(df, [*by, *cluster]).join(
+        numbered.select(*by, *cluster, "block", "blocks"), [*by, *cluster]).drop(*cluster), "histogram")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # slices follow the score only, so they stay valid inside every replicate
-    parts = sliced(histogram.drop(*cluster), by, [F.col("score").desc()])
-    weighted = _beside_times(parts, times).groupBy(*by, "replicate", SLICE, "score").agg(
-        F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg"))
-    keys = [*by, "replicate"]
-    run = running(weighted, keys, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, totals=True)
-    areas = curves.areas(run, keys)
-    both = (F.col("positives") > 0) & (F.col("negatives") > 0)
-    return areas.select(*keys, F.when(both, F.col("roc_auc")).alias("roc_auc"), "pr_auc")
-
-
-def _beside_times(parts: DataFrame, times: DataFrame) -> DataFrame:
-    """Histogram rows with the times of their block; only blocks measured as heavy are salted, and only their draws repeated."""
-    keys = ["blocks", "block"]
-    heavy = parts.groupBy(*keys).agg(F.expr(f"count(1) div {HEAVY} + 1").alias("_salts")).filter("_salts > 1")
-    if heavy.isEmpty():
-        return parts.join(times, keys)
-    salts = F.coalesce("_salts", F.lit(1))
-    salted = parts.join(heavy, keys, "left").withColumn("_salt", F.pmod(F.xxhash64("score"), salts)).drop("_salts")
-    repeated = times.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_salts")
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    parts = sliced(histogram, by, [F.col("score").desc()], max(tasks, histogram.count() // HEAVY + 1))
+    # equal scores share a slice; a slice that is large by them takes fewer replicates at once
+    most = parts.groupBy(*by, SLICE).count().agg(F.max("count")).first()[0] or 1
+    width = max(1, min(WIDTH, replicates, CELLS // most))
+    chunk, at = F.expr(f"replicate div {width}").alias("_chunk"), F.expr(f"cast(replicate % {width} as int)").alias("at")
+
+    held = parts.groupBy(*by, SLICE, "blocks", "block").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    sums = _weighted(held, [*by, SLICE], ["pos", "neg"], times)
+    earlier = Window.partitionBy(*by, "replicate").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*by, SLICE, chunk, at, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("pos", "neg")])
+    carried = before.groupBy(*by, SLICE, "_chunk").agg(F.collect_list(F.struct("at", "pos", "neg")).alias("_l")).select(
+        *by, SLICE, "_chunk", F.lit(None).cast("bigint").alias("block"), "_l.at", F.col("_l.pos").alias("a"), F.col("_l.neg").alias("b"))
+    packed = times.select("blocks", "block", chunk, at, "times").groupBy("blocks", "block", "_chunk").agg(
+        F.collect_list(F.struct("at", "times")).alias("_l"))
+    drawn = held.join(packed, ["blocks", "block"]).select(
+        *by, SLICE, "_chunk", "block", "_l.at", F.col("_l.times").alias("a"), F.lit(None).cast("array<bigint>").alias("b"))
+
+    keys = [*by, SLICE, "_chunk"]
+    spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((replicates - 1) // width).cast("bigint"))).alias("_chunk")
+    # columns named anew, for both sides come from the same slices
+    scores = parts.select(*by, SLICE, spread, "score", "block", "pos", "neg").toDF(*by, SLICE, "_chunk", "score", "block", "pos", "neg")
+    types = dict(parts.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in by), "replicate bigint", "wins double", "steps double"])
+
+    def areas(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        wins, steps = _slice_areas(left, right, width)
+        found = [pa.array([k.as_py()] * width, k.type) for k in key[:len(by)]]
+        return pa.table([*found, pa.array(key[-1].as_py() * width + np.arange(width)), pa.array(wins), pa.array(steps)], [*by, "replicate", "wins", "steps"])
+
+    # an explicit number of tasks keeps adaptive coalescing from merging small inputs of long tasks
+    sides = [side.repartition(tasks, *keys).groupBy(*keys) for side in (scores, drawn.unionByName(carried))]
+    merged = sides[0].cogroup(sides[1]).applyInArrow(areas, schema).groupBy(*by, "replicate").agg(F.sum("wins").alias("wins"), F.sum("steps").alias("steps"))
+    totals = sums.groupBy(*by, "replicate").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    p, n = F.col("p"), F.col("n")
+    return totals.join(merged, [*by, "replicate"]).select(
+        *by, "replicate", F.when((p > 0) & (n > 0), F.try_divide(F.col("wins"), p.cast("double") * n)).alias("roc_auc"),
+        F.when(p > 0, F.col("steps") / p).alias("pr_auc"))
+
+
+def _slice_areas(scores: pa.Table, drawn: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per replicate the parts of both areas that the scores of one slice add: wins of positives, and steps of precision."""
+    wins, steps, tp, fp = (np.zeros(width) for _ in range(4))
+    score = scores["score"].to_numpy()
+    order = np.argsort(-score, kind="stable")
+    score, pos, neg = score[order], scores["pos"].to_numpy()[order].astype(float), scores["neg"].to_numpy()[order].astype(float)
+    blocks, row = np.unique(scores["block"].to_numpy()[order], return_inverse=True)
+    first = drawn.filter(pc.is_null(drawn["block"]))
+    for side, column in ((tp, "a"), (fp, "b")):
+        side[pc.list_flatten(first["at"]).to_numpy()] = pc.list_flatten(first[column]).to_numpy()
+    own = drawn.filter(pc.is_valid(drawn["block"]))
+    times = np.zeros((len(blocks), width))
+    at_block = np.repeat(np.searchsorted(blocks, own["block"].to_numpy()), pc.list_value_length(own["at"]).to_numpy())
+    times[at_block, pc.list_flatten(own["at"]).to_numpy()] = pc.list_flatten(own["a"]).to_numpy()
+    starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+    ends = np.r_[starts[1:], len(score)]
+    low = 0
+    while low < len(starts):
+        # as many whole scores as fit into a small batch, one at least
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + BATCH, "right")))
+        lines = slice(starts[low], ends[high - 1])
+        much, at = times[row[lines]], starts[low:high] - starts[low]
+        up, down = (np.add.reduceat(much * side[lines, None], at, axis=0) for side in (pos, neg))
+        over, under = tp + np.cumsum(up, axis=0), fp + np.cumsum(down, axis=0)
+        wins += (down * (over - up / 2)).sum(axis=0)
+        steps += np.divide(up * over, over + under, out=np.zeros_like(over), where=over + under > 0).sum(axis=0)
+        tp, fp, low = over[-1], under[-1], high
+    return wins, steps
 
 
 def paired_rows(predictions: DataFrame, baseline: str) -> DataFrame:

@@ -60,3 +60,38 @@ def test_no_silent_ends(monkeypatch):
         special.binomial_half(499_999_000_000, 500_001_000_000)
     assert special.t_quantile(0.975, 1e9) == pytest.approx(special.t_quantile(0.975, 9e5), rel=1e-5)
     assert special.t_quantile(0.975, 1e12) == pytest.approx(1.959963984540054, rel=1e-11)
+
+
+def _scored(spark):
+    return spark.range(300).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("d"), (F.col("id") % 7).cast("string").alias("c"),
+        (F.xxhash64("id") % 2 == 0).cast("int").alias("label"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(40)) / 40).alias("probability"),
+        F.lit(1).alias("prediction"))
+
+
+def test_areas_of_replicates_are_those_of_the_drawn_rows(spark, monkeypatch):
+    """Slices of few scores, few replicates and rows at a time, many equal scores."""
+    for name, value in (("HEAVY", 17), ("WIDTH", 5), ("CELLS", 60), ("BATCH", 3)):
+        monkeypatch.setattr(bootstrap, name, value)
+    rows = _scored(spark)
+    numbered = bootstrap.numbered_blocks(rows.select("d", "c").distinct(), ["d"], ["c"])
+    times = bootstrap.multiplicities(numbered, 12, 4)
+    found = {(r.d, r.replicate): (r.roc_auc, r.pr_auc) for r in bootstrap._resampled_areas(rows, ["d"], ["c"], numbered, times, 12).collect()}
+    block = {(r.d, r.c): r.block for r in numbered.collect()}
+    often = {(r.replicate, r.block): r.times for r in times.collect()}
+    data = rows.collect()
+    assert len(found) == 24
+    for (d, k), (roc, pr) in found.items():
+        drawn = [(r.probability, r.label, often.get((k, block[d, r.c]), 0)) for r in data if r.d == d]
+        up, down = [(p, n) for p, y, n in drawn if y and n], [(p, n) for p, y, n in drawn if not y and n]
+        positives, negatives = sum(n for _, n in up), sum(n for _, n in down)
+        wins = sum(n * m * ((p > q) + (p == q) / 2) for p, n in up for q, m in down)
+        steps = sum(n * (t := sum(m for q, m in up if q >= p)) / (t + sum(m for q, m in down if q >= p)) for p, n in up)
+        assert roc == pytest.approx(wins / positives / negatives, rel=1e-12) and pr == pytest.approx(steps / positives, rel=1e-12)
+
+
+def test_no_row_for_each_score_and_replicate(spark):
+    """Scores times replicates are never rows of a plan: 100,000 scores of 2,000 replicates would be hundreds of millions."""
+    plan = bootstrap.cluster_intervals(_scored(spark), ["d"], ["c"], 20)._jdf.queryExecution().optimizedPlan().toString()
+    wide = [line for line in plan.splitlines() if "replicate#" in line and "score#" in line and "CoGroups" not in line]
+    assert "CoGroups" in plan and not wide
