@@ -53,6 +53,20 @@ def test_forest_separates_and_keeps_its_threshold(spark, separable):
         models.load_detector(swapped)
 
 
+def test_forest_of_one_class(spark, separable):
+    """Windows of many events are all attack: every row weighs 1 and has the only class; the guard of a threshold still refuses them."""
+    for label in (0, 1):
+        rows = separable.filter(F.col("label") == label)
+        assert {r.w for r in rows.select(models.balanced_weight(rows).alias("w")).collect()} == {1.0}
+        scored = models.Detector("scores", models.fit_forest(rows, FEATURES, 3), FEATURES, 0.5).score(separable)
+        assert scored.count() == 240 and {r.probability for r in scored.collect()} == {float(label)}
+    assert {r.w for r in separable.filter("label = 0 or window_start < 50").select(
+        models.balanced_weight(separable.filter("label = 0 or window_start < 50")).alias("w")).collect()} == {125 / 240, 125 / 10}
+    attack = separable.filter("label = 1")
+    with pytest.raises(ValueError, match="both classes"):
+        models.fit_detector(attack.filter("window_start < 600"), attack.filter("window_start >= 600"), trees=2)
+
+
 def test_soft_logistic_minimizes_its_objective(spark):
     data = [(i % 2 if i % 7 else 1 - i % 2, ((i * 37) % 101) / 100.0, float((i * 13) % 17) + 4 * (i % 2), float((i * 5) % 11)) for i in range(150)]
     df = spark.createDataFrame(data, "label int, teacher double, a double, b double")
