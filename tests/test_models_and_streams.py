@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from flowsieve.operators import gate, models, windows
+from flowsieve.operators import folds, gate, models, windows
 from flowsieve.plans import tables
 from flowsieve.schemas import FEATURES
 from flowsieve.session import scratch_path
@@ -67,6 +67,32 @@ def test_forest_of_one_class(spark, separable):
         models.fit_detector(attack.filter("window_start < 600"), attack.filter("window_start >= 600"), trees=2)
 
 
+def test_folds_share_checks_and_curves(spark, separable, monkeypatch):
+    """Three policies of a fold need few more jobs than one: its rows, checks and thresholds are made once, its predictions written."""
+    monkeypatch.setattr(models, "GRAPH_POLICIES", {"a": FEATURES[:2], "b": FEATURES[2:4]})
+    assignment = folds.fold_runs(folds.ranked_runs(folds.run_bounds(separable)), 4, 1, 2)
+    spark.sparkContext.setJobGroup("folds", "jobs of two folds")
+    try:
+        pooled, last = models.fold_predictions(separable, assignment, policies=["a", "b"], trees=2, graph_trees=2)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("folds")) < 130
+    tests = {(r.fold, r.run_id) for r in assignment.filter("role = 'test'").collect()}
+    rows = pooled.collect()
+    assert {(r.fold, r.run_id) for r in rows} == tests and len(rows) == len({(r.policy, r.row_id) for r in rows}) == 3 * 24 * len(tests)
+    assert all(r.prediction == r.label for r in rows) and {r.policy for r in rows} == {"ml_window_baseline", "a", "b"}
+    assert {r.threshold for r in rows if r.fold == 1 and r.policy == last.name} == {last.threshold} and "UDF" not in pooled._jdf.queryExecution().toString()
+
+
+def test_thresholds_of_one_curve_are_those_of_each_policy(spark, separable):
+    noisy = separable.withColumn("label", F.when(F.hash("row_id") % 5 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    train, validation = noisy.filter("window_start < 600"), noisy.filter("window_start >= 600")
+    drafts = [models.Detector(f"d{n}", models.fit_forest(train, FEATURES[:n], 5), FEATURES[:n], 0.0) for n in (1, 3)]
+    single = [models.curves.select_threshold(models.curves.threshold_curve(d.score(validation), []), [], 0.4).first()["threshold"] for d in drafts]
+    together = models.select_thresholds(drafts, validation, 0.4)
+    assert [d.threshold for d in together] == single and [d.name for d in together] == ["d1", "d3"]
+
+
 def test_soft_logistic_minimizes_its_objective(spark):
     data = [(i % 2 if i % 7 else 1 - i % 2, ((i * 37) % 101) / 100.0, float((i * 13) % 17) + 4 * (i % 2), float((i * 5) % 11)) for i in range(150)]
     df = spark.createDataFrame(data, "label int, teacher double, a double, b double")
