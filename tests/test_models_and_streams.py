@@ -82,6 +82,10 @@ def test_folds_share_checks_and_curves(spark, separable, monkeypatch):
     assert {(r.fold, r.run_id) for r in rows} == tests and len(rows) == len({(r.policy, r.row_id) for r in rows}) == 3 * 24 * len(tests)
     assert all(r.prediction == r.label for r in rows) and {r.policy for r in rows} == {"ml_window_baseline", "a", "b"}
     assert {r.threshold for r in rows if r.fold == 1 and r.policy == last.name} == {last.threshold} and "UDF" not in pooled._jdf.queryExecution().toString()
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    with pytest.raises(ValueError, match="both classes"):
+        models.fold_predictions(separable.filter("label = 1"), assignment, trees=2)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
 
 
 def test_thresholds_of_one_curve_are_those_of_each_policy(spark, separable):
